@@ -173,7 +173,7 @@ def pseudonymised(docs: DataFrame, key: str = "weftlog", text: str = "text") ->
     out = out.withColumn("_new", F.transform("_found", lambda m: _replaced(m, key)))
     parts = F.split(F.col(text), _ALL, -1)
     joined = F.array_join(F.zip_with(parts, F.col("_new.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    counts = [F.coalesce(F.size(F.filter(F.col("_new.kind"), lambda k, x=kind: k == x)), F.lit(0)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.size(F.array_remove(F.transform("_new", lambda m: F.nullif(m["kind"], F.lit(kind)).isNull() & m["kind"].isNotNull()), False)).cast("long") for kind in KINDS]
     some = F.col("_found").isNotNull() & (F.size("_found") > 0)
     keep = [F.when(some, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
     return out.select(*keep, *[F.when(some, c).otherwise(0).alias(f"n_{k}") for c, k in zip(counts, KINDS)])

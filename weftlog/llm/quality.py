@@ -188,8 +188,8 @@ def measured(docs: DataFrame, model: Model, host: str, path: str, carry: list[st
 
     picked = docs.select(*carry, F.col("text").alias("_text"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"))
     names = [*carry, "_host", "_path", "_junk", "_toxic", "_bad"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return picked.mapInArrow(run, f"{kinds}, _host string, _path string, _junk double, _toxic double, _bad double")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
+    return picked.mapInArrow(run, ", ".join([*kinds, "_host string, _path string, _junk double, _toxic double, _bad double"]))
 
 
 def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", carry: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:

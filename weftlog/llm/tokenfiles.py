@@ -9,7 +9,7 @@ Frame layout, little-endian: magic ``RBK1``; u32 documents, ids, words, stretche
 u64 index of the block's first id in its file; then i64 doc ids, u32 ids per document, per stretch u64 states
 [LANES], u32 first word and u32 crc of its ids, the u32 words, and u32 crc of all before.
 
-A file is one partition of the written Parquet table (file, block, frame); files and blocks are in ascending
+A file is one partition of the written Parquet table (file, block, n_ids, frame); files and blocks are in ascending
 doc_id order. Spark's own commit protocol writes it, so a lost task leaves no half block. Null texts have only their
 end id. Repeated rows stay apart, in order of their ids' bytes. An empty table makes no file and no rows.
 """
@@ -172,19 +172,19 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
                 ids.append(NO_ID if doc_id is None else doc_id), sizes.append(len(got)), blobs.append(got)
                 held += len(got)
                 if held >= BLOCK:
-                    yield out(part, block, encode_block(table, ids, sizes, np.concatenate(blobs), first))
+                    yield out(part, block, held, encode_block(table, ids, sizes, np.concatenate(blobs), first))
                     first, block = first + held, block + 1
                     ids, sizes, blobs, held = [], [], [], 0
         if held:
-            yield out(part, block, encode_block(table, ids, sizes, np.concatenate(blobs), first))
+            yield out(part, block, held, encode_block(table, ids, sizes, np.concatenate(blobs), first))
 
-    def out(part: int, block: int, frame: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([frame], pa.binary())], ["file", "block", "frame"])
+    def out(part: int, block: int, n: int, frame: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([frame], pa.binary())], ["file", "block", "n_ids", "frame"])
 
     # parts of a size that a task holds easily; their number follows the ids
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(freq.size and tokens.agg(F.sum("n")).first()[0] or 0) >> 24)
     dealt = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    dealt.mapInArrow(run, "file int, block int, frame binary").write.option("compression", "uncompressed").parquet(f"{path}/files")
+    dealt.mapInArrow(run, "file int, block int, n_ids long, frame binary").write.option("compression", "uncompressed").parquet(f"{path}/files")
 
 
 #: Stands for a null doc_id in a frame.
@@ -193,12 +193,11 @@ NO_ID = -(1 << 63)
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids as uint32 bytes]) of every document under ``path``, decoded in parallel."""
-    files = spark.read.schema("file int, block int, frame binary").parquet(f"{path}/files")
+    files = spark.read.schema("file int, block int, n_ids long, frame binary").parquet(f"{path}/files")
     freq = np.frombuffer(spark.read.schema("freq binary").parquet(f"{path}/table").first()[0], "<u4")
     shared = spark.sparkContext.broadcast(freq)
-    # ids in each file, from the heads of its blocks; as many rows as files
-    head = F.conv(F.hex(F.reverse(F.expr("substring(frame, 9, 4)"))), 16, 10).cast("long")
-    sizes = dict(tuple(r) for r in files.groupBy("file").agg(F.sum(head)).collect())
+    # ids in each file; as many rows as files
+    sizes = dict(tuple(r) for r in files.groupBy("file").agg(F.sum("n_ids")).collect())
     before, total = {}, 0
     for k in sorted(sizes):
         before[k] = total
