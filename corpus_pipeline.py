@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.llm import leaks, near, packing, quality, scratch, secrets
+from weftlog.shipping import ship
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judged(docs, labels, carry=docs.columns).where("not rejected").select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; a repeated row stays once."""
+    ship(spark)
     groups = scratch.keep(near.near_duplicates(docs), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -35,16 +38,19 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
+    ship(spark)
     return leaks.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
+    ship(spark)
     return secrets.redacted(docs, secrets.fit(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
+    ship(spark)
     return packing.pack(docs)
 
 

@@ -7,15 +7,14 @@ shrunk toward the global rate and a path's toward its host's, with strengths tha
 themselves determines. The posterior is the document's evidence times the odds of its path, so a sparse site
 adds next to nothing and a large bad one a little.
 
-The classifiers are fitted on at most ``sample`` labelled documents, chosen by hash; rates, strengths
-and decisions cover all documents. Null and empty texts have the evidence of an empty form and are
+The classifiers are fitted on at most ``sample`` labelled documents, chosen by hash (``CLEAN`` for the clean uses
+of insult words); rates, strengths and decisions cover all documents. Null and empty texts have the evidence of an empty form and are
 rejected when that is bad. Null hosts and paths are sites of their own. Documents without labels are judged all the
 same; without any labels nothing is rejected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, vectors
-from .wordhash import ALNUM, LOWER, slices, word_hashes, words
+from .wordhash import ALNUM, LOWER, slices, window_hashes, word_hashes, words
 
-#: Labelled documents that the classifiers are fitted on.
-SAMPLE = 12_000
-#: Labelled documents that a word must be in, and the rate of toxic ones among them after shrinking, to count.
-SUPPORT, RATE = 8, 0.4
+#: Labelled documents that the classifiers are fitted on, and those in which clean uses of insult words are counted.
+SAMPLE, CLEAN = 12_000, 60_000
+#: Toxic documents that a word must be in (at least this, and this share of them), and its shrunk rate of toxic ones, to count.
+SUPPORT, SHARE, RATE = 5, 0.01, 0.4
 FORMS = 9
 #: A document is rejected above this posterior probability of being bad.
 REJECT = 0.5
@@ -104,29 +103,38 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fits both classifiers on labelled documents; None without labels. Equal rows are one example."""
     labels = labels.select("doc_id", "quality", "toxic").where("doc_id is not null and (quality is not null or toxic is not null)").dropDuplicates(["doc_id"])
-    some = vectors.sampled(labels, F.col("doc_id"), sample, labels.count())
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "toxic", "text")
+    many = labels.count()
+
+    def labelled(most: int) -> DataFrame:
+        some = vectors.sampled(labels, F.col("doc_id"), most, many)
+        return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "toxic", "text")
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, hashes, count in forms(batch.column(3)):
                 bags = [np.unique(hashes[a:b]) for a, b in zip(count[:-1], count[1:])]
+                # near copies mostly have the same least run of three words
+                signs = [int(window_hashes(hashes[a:b], 3).min(initial=2**64 - 1) >> np.uint64(1)) for a, b in zip(count[:-1], count[1:])]
                 part = batch.slice(first, len(x))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (1, 2)), pa.array(list(x), pa.list_(pa.float64())), pa.array([b.tobytes() if t else b"" for b, t in zip(bags, part.column(2).to_pylist())], pa.binary())], ["quality", "toxic", "x", "bag"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in (1, 2)), pa.array(list(x), pa.list_(pa.float64())), pa.array([b.tobytes() if t else b"" for b, t in zip(bags, part.column(2).to_pylist())], pa.binary()), pa.array(signs, pa.int64())], ["quality", "toxic", "x", "bag", "sign"])
 
-    rows = found.mapInArrow(run, "quality int, toxic int, x array<double>, bag binary").collect()
+    rows = labelled(sample).mapInArrow(run, "quality int, toxic int, x array<double>, bag binary, sign long").collect()
     if not rows:
         return None
     x, q = np.array([r["x"] for r in rows if r["quality"] is not None]), np.array([r["quality"] for r in rows if r["quality"] is not None], float)
     weights = logistic(x, 1 - q) if len(x) else np.zeros(FORMS)
-    bags = {r["bag"] for r in rows if r["toxic"]}  # copies are one example
     told = sum(r["toxic"] is not None for r in rows)
     rate = min(0.5, max(1e-3, sum(bool(r["toxic"]) for r in rows) / max(told, 1)))
-    sets = [np.frombuffer(b, np.uint64) for b in bags]
-    often = Counter()
-    for s in sets:
-        often.update(s.tolist())
-    names = np.array(sorted(k for k, n in often.items() if n >= SUPPORT), np.uint64)
+    # a word counts once for all copies of a toxic document
+    seen: dict[int, set[int]] = {}
+    for r in rows:
+        if r["toxic"]:
+            for word in np.frombuffer(r["bag"], np.uint64).tolist():
+                seen.setdefault(word, set()).add(r["sign"])
+    least = max(SUPPORT, SHARE * len({r["sign"] for r in rows if r["toxic"]}))
+    often = {w: len(x) for w, x in seen.items() if len(x) >= least}
+    names = np.array(sorted(often), np.uint64)
     insults: dict[int, float] = {}
     if len(names):
 
@@ -142,27 +150,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
                         out[at[good]] += 1
             return out
 
-        other = dict(zip(names.tolist(), vectors.total(found, len(names), clean).tolist()))
-        # the word that explains most goes first; documents it explains no longer speak for other words
-        open_ = list(range(len(sets)))
-        while True:
-            often = Counter()
-            for k in open_:
-                often.update(sets[k].tolist())
-            best = max(((n - other[w] * rate / (1 - rate), w) for w, n in often.items() if w in other and n >= min(SUPPORT, max(3, len(sets) // 40)) and _rate(n, other[w], rate) >= RATE), default=None)
-            if best is None:
-                break
-            word = best[1]
-            n = sum(word in s for s in map(set, (x.tolist() for x in sets)))
-            p = _rate(n, other[word], rate)
-            insults[word] = float(np.log(p / (1 - p)) - np.log(rate / (1 - rate))) + 2.0
-            keep = np.uint64(word)
-            open_ = [k for k in open_ if keep not in sets[k]]
+        other = dict(zip(names.tolist(), vectors.total(labelled(CLEAN), len(names), clean).tolist()))
+        part = min(1.0, sample / many) / min(1.0, CLEAN / many)
+        for word, n in often.items():
+            p = _rate(n, other[word] * part, rate)
+            if p >= RATE:
+                insults[word] = float(np.log(p / (1 - p)) - np.log(rate / (1 - rate))) + 2.0
     bad = min(0.9, max(1e-3, float(np.mean([(r["quality"] == 0) or bool(r["toxic"]) for r in rows]))))
     return Model(weights, insults, bad, rate)
 
 
-def _rate(toxic: float, clean: float, rate: float, strength: float = 10.0) -> float:
+def _rate(toxic: float, clean: float, rate: float, strength: float = 6.0) -> float:
     return (toxic + strength * rate) / (toxic + clean + strength)
 
 
