@@ -2,27 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 
+#: Links that a task closes on its own at a time.
+LINKS = 200_000
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars for links: of each run of links in a task, every node with the smallest of its component there."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def out() -> pa.RecordBatch:
+        nodes = [x for x in root if find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        if len(root) > LINKS:
+            yield out()
+            root = {}
+    if root:
+        yield out()
+
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); component is the smallest node reachable.
 
-    A turn gives each node the least label among itself and its neighbours, then the label of that label
-    until the turn's table is written. A path of length n takes about log n turns. Each turn is a written
-    table, so a lost executor costs one turn. No links give an empty table.
+    Tasks first close the links they hold, a bounded number at a time. Then a turn gives each node the
+    least label among itself and its neighbours, and then the label of that label, until nothing changes. A
+    path of length n takes about log n turns. Each turn is a written table, so a lost executor costs
+    one turn. No links give an empty table.
     """
-    both = scratch.keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = scratch.keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
+    rows = links.count()
+    stars = links.select("a", "b").coalesce(max(8, rows // LINKS)).mapInArrow(_closed, "a long, b long")
+    stars = scratch.keep(stars, "stars")
+    both = scratch.keep(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", 2 * rows)
+    label = scratch.keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels", rows)
     while True:
         far = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("low"))
         near = label.join(far, label["node"] == far["a"]).select("node", F.least("component", "low").alias("next"), F.col("component").alias("was"))
-        near = scratch.keep(near, "labels")
+        near = scratch.keep(near, "labels", rows)
         hop = near.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        after = scratch.keep(near.join(hop, "next").select("node", F.least("next", "jump").alias("component"), "was"), "labels")
+        after = scratch.keep(near.join(hop, "next").select("node", F.least("next", "jump").alias("component"), "was"), "labels", rows)
         if after.where("component <> was").isEmpty():
             return after.select("node", "component")
         label = after.select("node", "component")

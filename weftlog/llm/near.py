@@ -6,16 +6,17 @@ becomes all of its pairs:
 
 1. One pass over the texts counts shingles in a fixed sketch (the rare-first order: sketch count, then
    hash; any order that all documents share is exact) and gives each document its set's size and digest.
-   Documents with equal sets are one vertex, their smallest id.
+   Documents with equal sets link with the smallest of them.
 2. A second pass posts each set's prefix: its ``n - ceil(percent * n / 100) + 1`` rarest shingles. Postings
-   are sorted by shingle, and a stream over them drops shingles of one document and pairs every posting
-   with a pivot of its list (length and positional filters first). Lists that the sketch knows to be very
-   long are salted by document; a salted part is a list of its own, and step 4 joins the parts.
+   are sorted by shingle and stream by. A row that could link with no other of its list, by length and
+   place, is dropped; each other row is paired with one partner. Lists that the sketch knows to be very
+   long are salted by document; a salted part is a list of its own here, and step 4 joins the parts.
 3. Candidate pairs are distinct, get their two sets by joins, pass a suffix filter and are verified by an
    exact intersection. Verified links are closed into components.
-4. Lists that still hold two components or more are joined on their shingle, only across components and
-   only through the same filters; the new pairs are verified and closed again. While these pairs would be
-   many more than the postings, another star round with other pivots comes first. Nothing is capped.
+4. Lists that still hold two components or more are gone through again, pair by pair across components
+   and through the same filters; the new pairs are verified and closed again. A list of more than
+   ``SHORT`` rows goes through star rounds with other pivots while its pairs across components are many
+   more than its rows, and then through a join on the shingle. Nothing is capped.
 
 Nulls and empty texts, and texts without words, have empty sets and link with nothing. Rows that repeat
 a doc_id are one document when their texts are equal; extra columns are ignored.
@@ -35,10 +36,12 @@ from .wordhash import mix, shingle_sets
 
 #: Counters of the shingle sketch, and counters to a row of it; both fixed, whatever the input.
 COUNTERS, ROW = 1 << 18, 1 << 12
+#: Rows of a list that is looked at pair by pair, across components only.
+SHORT = 64
 #: A list of this many postings (by the sketch, which only overestimates) is salted into parts.
 LONG_LIST = 1 << 20
 #: Bits of the filter that lets candidate documents into the pass that makes sets; fixed, so its error grows, never the result's.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
 
 
 def _overlap(na, nb, percent: int):
@@ -127,43 +130,97 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int, width: int = 5)
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "gram long, salt int, doc_id long, n int, pos int")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Whole lists of rows sorted by (gram, salt), many at a time; or (True) rows of one list too long to hold."""
+    held: list[np.ndarray] | None = None
+    long = None
+    for batch in batches:
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+            held = None
+        if not len(rows[0]):
+            continue
+        if long is not None:
+            same = (rows[0] == long[0]) & (rows[1] == long[1])
+            n = len(same) if same.all() else int(np.argmin(same))
+            if n:
+                yield [x[:n] for x in rows], True
+                rows = [x[n:] for x in rows]
+            if not len(rows[0]):
+                continue
+            long = None
+        g, s = rows[:2]
+        differs = (g != g[-1]) | (s != s[-1])
+        last = len(g) - int(np.argmax(differs[::-1])) if differs.any() else 0
+        if last:
+            yield [x[:last] for x in rows], False
+        held = [x[last:] for x in rows]
+        if len(held[0]) > SHORT:
+            long = (g[-1], s[-1])
+            yield held, True
+            held = None
+    if held is not None:
+        yield held, False
+
+
+def _fits(na, pa_, nb, pb, percent: int) -> np.ndarray:
+    """Length and positional filter: could sets that share their first prefix shingle at these places link?"""
+    least = -(-percent * (na + nb) // (100 + percent))
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= least)
+
+
+def _paired(g: np.ndarray, s: np.ndarray, c: np.ndarray, n: np.ndarray, p: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, partners further on) in lists of at most ``SHORT`` rows that the filters let pass, by growing distance."""
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(g)))
+    end = np.repeat(starts + size, size)
+    end[np.repeat(size > SHORT, size)] = 0
+    n, p = n.astype(np.int64), p.astype(np.int64)
+    for d in range(1, SHORT):
+        at = np.flatnonzero(np.arange(len(g)) + d < end)
+        if not len(at):
+            return
+        at = at[c[at] != c[at + d]]
+        at = at[_fits(n[at], p[at], n[at + d], p[at + d], percent)]
+        if len(at):
+            yield at, at + d
+
+
 def stars(posted: DataFrame, percent: int) -> DataFrame:
-    """Rows of lists with two postings or more, and with each the list's pivot where the filters let the pair pass.
+    """The postings that may link with another of their list, each with one such partner.
 
-    A stream over postings sorted by list: it holds one batch and the current pivot, however long a list is.
+    Lists stream by, sorted. In a list of at most ``SHORT`` rows a row's partner is the nearest before
+    it that the filters let pass, and rows without any such pair are dropped: nothing can link them here. A
+    longer list is kept whole, and its first row is the partner of all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the list's key, pivot and whether the pivot has been given out, carried across batches
-        for batch in batches:
-            g, s, d, n, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            if not len(g):
+        pivot = None
+        for (g, s, d, n, p), long in _runs(batches, 5):
+            if long:
+                if pivot is None or pivot[:2] != (g[0], s[0]):
+                    pivot = (g[0], s[0], d[0], int(n[0]), int(p[0]))
+                fits = _fits(n.astype(np.int64), p.astype(np.int64), pivot[3], pivot[4], percent) & (d != pivot[2])
+                yield out(g, s, d, n, p, pa.array(np.full(len(g), pivot[2]), mask=~fits))
                 continue
+            use, mate = np.zeros(len(g), bool), np.full(len(g), -1)
+            for at, to in _paired(g, s, d, n, p, percent):
+                use[at] = use[to] = True
+                free = mate[to] < 0
+                mate[to[free]] = at[free]
             new = np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])])
             head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            follows = last is not None and (g[0], s[0]) == last[:2]
-            pd_, pn, pp = d[head], n[head].astype(np.int64), p[head].astype(np.int64)
-            if follows:
-                same = head == 0
-                pd_[same], pn[same], pp[same] = last[2:5]
-            size = np.diff(np.append(np.flatnonzero(new), len(g)))
-            many = np.repeat(size > 1, size)
-            if follows:
-                many[head == 0] = True
-            if last is not None and (follows and not last[5]):  # the pivot came alone at the end of the batch before
-                yield out([last[0]], [last[1]], [last[2]], [last[3]], [last[4]], [None])
-            tail = head == head[-1]
-            rows = np.flatnonzero(many)
-            nn, qq = n[rows].astype(np.int64), p[rows].astype(np.int64)
-            pn_, pp_, a = pn[rows], pp[rows], pd_[rows]
-            least = -(-percent * (nn + pn_) // (100 + percent))
-            fits = (a != d[rows]) & (100 * np.minimum(nn, pn_) >= percent * np.maximum(nn, pn_)) & (np.minimum(nn - qq, pn_ - pp_) >= least)
+            size = np.bincount(head, minlength=len(g))[head]
+            big = size > SHORT
+            if big.any():
+                use |= big
+                fits = big & (d != d[head]) & _fits(n.astype(np.int64), p.astype(np.int64), n[head].astype(np.int64), p[head].astype(np.int64), percent)
+                mate[fits] = head[fits]
+            rows = np.flatnonzero(use)
             if len(rows):
-                yield out(g[rows], s[rows], d[rows], n[rows], p[rows], pa.array(a, mask=~fits))
-            given = bool(many[-1])
-            k = head[-1]
-            last = (g[k], s[k], pd_[k], pn[k], pp[k], given)
-            del tail
+                yield out(g[rows], s[rows], d[rows], n[rows], p[rows], pa.array(d[mate[rows]], mask=mate[rows] < 0))
 
     def out(g, s, d, n, p, pivot) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(pivot, pa.int64())], ["gram", "salt", "doc_id", "n", "pos", "pivot"])
@@ -172,8 +229,33 @@ def stars(posted: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, salt int, doc_id long, n int, pos int, pivot long")
 
 
+def crossings(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """What lists still have between components: pairs (a, b) of lists of at most ``SHORT`` rows, and the rows of longer ones.
+
+    A row is either a pair or a row of a long list (gram, a: doc_id, n, pos, c: component).
+    """
+    held = lists.join(label, lists["doc_id"] == label["node"], "left").select("gram", F.lit(0).alias("salt"), "doc_id", "n", "pos", F.coalesce("component", "doc_id").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (g, s, d, n, p, c), long in _runs(batches, 6):
+            new = np.concatenate([[True], g[1:] != g[:-1]])
+            size = np.diff(np.append(np.flatnonzero(new), len(g)))
+            big = np.flatnonzero(np.repeat(size > SHORT, size) | long)
+            if len(big):
+                yield out(g[big], d[big], np.zeros(len(big), np.int64), n[big], p[big], c[big], True)
+            if not long:
+                for at, to in _paired(g, s, c, n, p, percent):
+                    yield out(g[at], np.minimum(d[at], d[to]), np.maximum(d[at], d[to]), n[at], p[at], c[at], False)
+
+    def out(g, a, b, n, p, c, long: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(c, pa.int64()), pa.array(np.full(len(g), long))], ["gram", "a", "b", "n", "pos", "c", "long"])
+
+    dealt = held.repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "gram long, a long, b long, n int, pos int, c long, long boolean")
+
+
 def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, grams) of the documents in ``pairs``: a fixed filter of bits first, then an exact semi join."""
+    """(doc_id, grams) of the documents in ``pairs``, and of the few others that a filter of bits lets pass."""
     spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
@@ -214,8 +296,7 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int = 5) -> DataFra
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
 
-    made = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, grams binary")
-    return made.join(wanted.distinct(), "doc_id", "left_semi")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, grams binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int, depth: int = 3) -> bool:
@@ -236,6 +317,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int, depth: int = 3) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int = 5) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link; each pair is looked at once."""
     sets = scratch.keep(candidate_sets(docs, pairs, width), "sets")
+    rows = pairs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,63 +326,62 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int = 5) ->
 
     one, two = sets.toDF("a", "ga"), sets.toDF("b", "gb")
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ga", "gb")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _pairs(rows: DataFrame, one: str, two: str) -> DataFrame:
-    return rows.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).where("a < b").distinct()
+    return scratch.keep(both.mapInArrow(run, "a long, b long"), "links", 25 * rows)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
     ``component_id`` is the smallest doc_id reachable over links, itself included; ``n_links`` counts the
-    verified links that were needed to find it (0 for a document alone).
+    links that were needed to find it (0 for a document alone).
     """
     docs = docs.select("doc_id", "text")
     signed, sketch = signatures(docs, width)
-    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # only classes of two or more documents need the join; a document alone is its own class
-    same = scratch.keep(signed.join(classes.where("copies > 1"), ["n", "h1", "h2"]).select("doc_id", "rep").distinct(), "classes")
+    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    # equal sets: each document links with the smallest of its class
+    same = signed.join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    same = scratch.keep(same, "same", signed.count() // 4)
 
     lists = scratch.keep(stars(postings(docs, sketch, percent, width), percent), "lists")
-    named = lists.join(same, "doc_id", "left").select("gram", "n", "pos", F.coalesce("rep", "doc_id").alias("v"))
-    named = scratch.keep(named.distinct(), "named")
-    star = lists.where("pivot is not null").select("doc_id", "pivot").distinct()
-    star = star.join(same, "doc_id", "left").select("pivot", F.coalesce("rep", "doc_id").alias("v"))
-    star = star.join(same.toDF("pivot", "rep"), "pivot", "left").select("v", F.coalesce("rep", "pivot").alias("w"))
-    pairs = scratch.keep(_pairs(star, "v", "w"), "pairs")
-    links = scratch.keep(verified(docs, pairs, percent, width), "links")
+    star = lists.where("pivot is not null").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+    pairs = scratch.keep(star.join(same, ["a", "b"], "left_anti"), "pairs", lists.count())
+    links = same.unionByName(verified(docs, pairs, percent, width))
     label = components.connected(links)
 
-    for turn in range(6):
-        held = named.join(label, F.col("v") == F.col("node"), "left").select("gram", "n", "pos", "v", F.coalesce("component", "v").alias("c"))
+    crossed = scratch.keep(crossings(lists.select("gram", "doc_id", "n", "pos"), label, percent), "crossed")
+    more = scratch.keep(crossed.where("not long").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", crossed.count())
+    if not more.isEmpty():
+        links, pairs = links.unionByName(verified(docs, more, percent, width)), pairs.unionByName(more)
+        label = components.connected(links)
+    long = crossed.where("long").select("gram", F.col("a").alias("doc_id"), "n", "pos")
+    turn = 0
+    while True:  # lists too long to look at pair by pair
+        held = long.join(label, F.col("doc_id") == F.col("node"), "left").select("gram", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         mixed = held.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gram")
-        held = scratch.keep(held.join(mixed, "gram"), "mixed")
+        held = scratch.keep(held.join(mixed, "gram"), "mixed", long.count())
         per = held.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
         row = per.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
-        last = not row["rows"] or row["pairs"] <= 16 * row["rows"] or turn == 5
         if not row["rows"]:
             break
         x, y = held.alias("x"), held.alias("y")
         fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _overlap(F.col("x.n"), F.col("y.n"), percent))
+        last = row["pairs"] <= 16 * row["rows"] or turn == 5
         if last:
-            found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.c") != F.col("y.c")) & fits)
+            found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits)
         else:
             # another star: a list's pivot is its least row in an order that changes with the turn
-            best = held.groupBy("gram").agg(F.min_by(F.struct("n", "pos", "v", "c"), F.xxhash64("v", "gram", F.lit(turn))).alias("pivot")).select("gram", "pivot.*").alias("y")
+            best = held.groupBy("gram").agg(F.min_by(F.struct("n", "pos", "doc_id", "c"), F.xxhash64("doc_id", "gram", F.lit(turn))).alias("pivot")).select("gram", "pivot.*").alias("y")
             found = x.join(best, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & fits)
-        more = _pairs(found.select(F.col("x.v").alias("v"), F.col("y.v").alias("w")), "v", "w").join(pairs, ["a", "b"], "left_anti")
-        more = scratch.keep(more, "pairs")
+        found = found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        more = scratch.keep(found.join(pairs, ["a", "b"], "left_anti"), "pairs", row["rows"])
         if not more.isEmpty():
-            pairs = pairs.unionByName(more)
-            links = links.unionByName(scratch.keep(verified(docs, more, percent, width), "links"))
+            links, pairs = links.unionByName(verified(docs, more, percent, width)), pairs.unionByName(more)
             label = components.connected(links)
         if last:
             break
+        turn += 1
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     label = label.join(degree, "node")
-    out = signed.join(same, "doc_id", "left").withColumn("v", F.coalesce("rep", "doc_id"))
-    out = out.join(label, F.col("v") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "v").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.join(label, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Narrow rows in a file of a table whose size is known.
+ROWS = 250_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,9 +31,11 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the scratch folder and returns a frame that reads it."""
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` to the scratch folder and returns a frame that reads it; about ``rows`` rows, if given, set the number of files."""
     spark, path = df.sparkSession, place(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
