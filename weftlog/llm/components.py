@@ -51,7 +51,7 @@ def connected(links: DataFrame) -> DataFrame:
     one turn. No links give an empty table.
     """
     rows = links.count()
-    stars = links.select("a", "b").coalesce(max(8, rows // LINKS)).mapInArrow(_closed, "a long, b long")
+    stars = links.select("a", "b").coalesce(-(-rows // LINKS) or 1).mapInArrow(_closed, "a long, b long")
     stars = scratch.keep(stars, "stars")
     both = scratch.keep(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", 2 * rows)
     label = scratch.keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels", rows)
@@ -64,3 +64,13 @@ def connected(links: DataFrame) -> DataFrame:
         if after.where("component <> was").isEmpty():
             return after.select("node", "component")
         label = after.select("node", "component")
+
+
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after further ``links`` (a, b): only the components that they join are gone through again."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti")
+    every = scratch.keep(label.unionByName(ends.select("node", F.col("node").alias("component"))), "labels", label.count())
+    one, two = every.toDF("a", "ca"), every.toDF("b", "cb")
+    joined = links.join(one, "a").join(two, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    merged = connected(scratch.keep(joined, "joined", links.count())).toDF("component", "merged")
+    return scratch.keep(every.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component")), "labels", label.count())

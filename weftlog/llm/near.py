@@ -14,9 +14,9 @@ becomes all of its pairs:
 3. Candidate pairs are distinct, get their two sets by joins, pass a suffix filter and are verified by an
    exact intersection. Verified links are closed into components.
 4. Lists that still hold two components or more are gone through again, pair by pair across components
-   and through the same filters; the new pairs are verified and closed again. A list of more than
-   ``SHORT`` rows goes through star rounds with other pivots while its pairs across components are many
-   more than its rows, and then through a join on the shingle. Nothing is capped.
+   and through the same filters; the new pairs are verified and closed again. Lists of more than
+   ``SHORT`` rows are joined with some of their rows, eight times as many each turn, until the pairs across
+   components that are left are few enough, or the rows are all of them. Nothing is capped.
 
 Nulls and empty texts, and texts without words, have empty sets and link with nothing. Rows that repeat
 a doc_id are one document when their texts are equal; extra columns are ignored.
@@ -225,7 +225,7 @@ def stars(posted: DataFrame, percent: int) -> DataFrame:
     def out(g, s, d, n, p, pivot) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(pivot, pa.int64())], ["gram", "salt", "doc_id", "n", "pos", "pivot"])
 
-    dealt = posted.repartition("gram", "salt").sortWithinPartitions("gram", "salt", F.xxhash64("doc_id", "gram"))
+    dealt = posted.repartition("gram", "salt").sortWithinPartitions("gram", "salt", F.xxhash64("doc_id"), "doc_id")
     return dealt.mapInArrow(run, "gram long, salt int, doc_id long, n int, pos int, pivot long")
 
 
@@ -351,35 +351,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     crossed = scratch.keep(crossings(lists.select("gram", "doc_id", "n", "pos"), label, percent), "crossed")
     more = scratch.keep(crossed.where("not long").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", crossed.count())
     if not more.isEmpty():
-        links, pairs = links.unionByName(verified(docs, more, percent, width)), pairs.unionByName(more)
-        label = components.connected(links)
+        new, pairs = verified(docs, more, percent, width), pairs.unionByName(more)
+        links, label = links.unionByName(new), components.extended(label, new)
     long = crossed.where("long").select("gram", F.col("a").alias("doc_id"), "n", "pos")
-    turn = 0
+    pivots = 16
     while True:  # lists too long to look at pair by pair
         held = long.join(label, F.col("doc_id") == F.col("node"), "left").select("gram", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         mixed = held.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gram")
         held = scratch.keep(held.join(mixed, "gram"), "mixed", long.count())
         per = held.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
-        row = per.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
+        row = per.agg(F.max("m").alias("most"), F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
         if not row["rows"]:
             break
-        x, y = held.alias("x"), held.alias("y")
-        fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _overlap(F.col("x.n"), F.col("y.n"), percent))
-        last = row["pairs"] <= 16 * row["rows"] or turn == 5
-        if last:
-            found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fits)
+        # pivots: rows whose document's hash falls into this turn's share of the list; the same documents in all lists of a size
+        if row["pairs"] > 16 * row["rows"] and pivots < row["most"]:
+            sizes = held.groupBy("gram").agg(F.ceil(F.log2(F.count("*"))).alias("bits"))
+            chosen = held.join(sizes, "gram").where(F.pmod(F.xxhash64("doc_id"), F.pow(F.lit(2), F.col("bits")).cast("long")) < pivots).drop("bits")
         else:
-            # another star: a list's pivot is its least row in an order that changes with the turn
-            best = held.groupBy("gram").agg(F.min_by(F.struct("n", "pos", "doc_id", "c"), F.xxhash64("doc_id", "gram", F.lit(turn))).alias("pivot")).select("gram", "pivot.*").alias("y")
-            found = x.join(best, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & fits)
+            chosen, pivots = held, None
+        x, y = held.alias("x"), chosen.alias("y")
+        fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _overlap(F.col("x.n"), F.col("y.n"), percent))
+        found = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & fits)
         found = found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         more = scratch.keep(found.join(pairs, ["a", "b"], "left_anti"), "pairs", row["rows"])
         if not more.isEmpty():
-            links, pairs = links.unionByName(verified(docs, more, percent, width)), pairs.unionByName(more)
-            label = components.connected(links)
-        if last:
+            new, pairs = verified(docs, more, percent, width), pairs.unionByName(more)
+            links, label = links.unionByName(new), components.extended(label, new)
+        if pivots is None:
             break
-        turn += 1
+        pivots *= 8
 
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     label = label.join(degree, "node")
