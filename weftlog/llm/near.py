@@ -41,7 +41,7 @@ SHORT = 64
 #: A list of this many postings (by the sketch, which only overestimates) is salted into parts.
 LONG_LIST = 1 << 20
 #: Bits of the filter that lets candidate documents into the pass that makes sets; fixed, so its error grows, never the result's.
-FILTER_BITS = 1 << 25
+FILTER_BITS, CHUNKS = 1 << 25, 64
 
 
 def _overlap(na, nb, percent: int):
@@ -254,19 +254,18 @@ def crossings(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, a long, b long, n int, pos int, c long, long boolean")
 
 
-def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, grams) of the documents in ``pairs``, and of the few others that a filter of bits lets pass."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A packed table of bits with the slots of all values of ``ids`` (one or more columns) set."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[_slot(batch.column(0).to_numpy(zero_copy_only=False))] = True
+            for column in batch.columns:
+                bits[_slot(column.to_numpy(zero_copy_only=False))] = True
         if bits.any():
-            for k, part in enumerate(np.packbits(bits).reshape(64, -1)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+            parts = np.packbits(bits).reshape(CHUNKS, -1)
+            some = np.flatnonzero(parts.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -276,57 +275,93 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, width: int = 5) -> DataFra
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["chunk", "bits"])
 
-    packed = np.zeros((64, FILTER_BITS // 512), np.uint8)
-    for k, blob in wanted.mapInArrow(mark, "chunk int, bits binary").repartition("chunk").mapInArrow(join, "chunk int, bits binary").collect():
+    packed = np.zeros((CHUNKS, FILTER_BITS // CHUNKS // 8), np.uint8)
+    for k, blob in ids.mapInArrow(mark, "chunk int, bits binary").repartition("chunk").mapInArrow(join, "chunk int, bits binary").collect():
         packed[k] |= np.frombuffer(blob, np.uint8)
-    held = spark.sparkContext.broadcast(packed.reshape(-1))
+    return packed.reshape(-1)
+
+
+def _among(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    slot = _slot(ids)
+    return np.flatnonzero((packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+
+
+def profile(got: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of about as many equal ranges as it has members, a byte each."""
+    bits = min(16, max(4, int(len(got)).bit_length()))
+    return np.minimum(np.bincount((got >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, n, ranges, grams) of the documents in ``ids``, and of the few others that a filter of bits lets pass; written."""
+    held = docs.sparkSession.sparkContext.broadcast(_bits(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(held.value).astype(bool)
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(bits[_slot(ids)])
-            some, blobs, owners, size = batch.column(1).take(pa.array(rows)), [], [], 0
+            rows = _among(ids, held.value)
+            some, found, size = batch.column(1).take(pa.array(rows)), [], 0
             for row, got in shingle_sets(some, width):
-                blobs.append(got.tobytes()), owners.append(ids[rows[row]])
-                size += len(blobs[-1])
+                found.append((int(ids[rows[row]]), len(got), profile(got), got.tobytes()))
+                size += len(found[-1][3])
                 if size > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
-                    blobs, owners, size = [], [], 0
-            if blobs:
-                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, grams binary")
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int, depth: int = 3) -> bool:
-    """Whether two sorted distinct sets link: a suffix filter by halving, then the exact intersection."""
-    need = _overlap(len(a), len(b), percent)
-    if min(len(a), len(b)) < need:
-        return False
-    # suffix filter: cut both at the same values; each part can share no more than its smaller side
-    cuts = a[[len(a) * k >> depth for k in range(1, 1 << depth)]]
-    left, right = (np.diff(np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]])) for x in (a, b))
-    if np.minimum(left, right).sum() < need:
-        return False
+                    yield out(found)
+                    found, size = [], 0
+            if found:
+                yield out(found)
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), kinds)], ["doc_id", "n", "ranges", "grams"])
+
+    made = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, ranges binary, grams binary")
+    return scratch.keep(made, "sets")
+
+
+def suffix_fits(na: int, ra: bytes, nb: int, rb: bytes, percent: int) -> bool:
+    """Suffix filter: members that differ, counted range by range, may not be more than linked sets can have."""
+    a, b = np.frombuffer(ra, np.uint8).astype(np.int64), np.frombuffer(rb, np.uint8).astype(np.int64)
+    while len(a) > len(b):
+        a = a[::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[::2] + b[1::2]
+    return int(np.abs(a - b).sum()) <= na + nb - 2 * _overlap(na, nb, percent)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted distinct sets link, by their exact intersection."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum()) >= need
+    return int((both[1:] == both[:-1]).sum()) >= _overlap(len(a), len(b), percent)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link; each pair is looked at once."""
-    sets = scratch.keep(candidate_sets(docs, pairs, width), "sets")
-    rows = pairs.count()
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that link: first by the suffix filter over small profiles, then exactly, once each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [k for k, x in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))) if suffix_fits(*x, percent)]
+            yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [k for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))) if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)]
             yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
 
-    one, two = sets.toDF("a", "ga"), sets.toDF("b", "gb")
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ga", "gb")
-    return scratch.keep(both.mapInArrow(run, "a long, b long"), "links", 25 * rows)
+    small, rows = sets.select("doc_id", "n", "ranges"), pairs.count()
+    one, two = small.toDF("a", "na", "ra"), small.toDF("b", "nb", "rb")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "ra", "nb", "rb")
+    left = scratch.keep(both.mapInArrow(coarse, "a long, b long"), "left", 4 * rows)
+    held = sets.sparkSession.sparkContext.broadcast(_bits(left))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(_among(batch.column(0).to_numpy(zero_copy_only=False), held.value)))
+
+    some = sets.select("doc_id", "grams").mapInArrow(needed, "doc_id long, grams binary")
+    one, two = some.toDF("a", "ga"), some.toDF("b", "gb")
+    both = left.join(one, "a").join(two, "b").select("a", "b", "ga", "gb")
+    return scratch.keep(both.mapInArrow(exact, "a long, b long"), "links", 25 * rows)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -345,16 +380,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     lists = scratch.keep(stars(postings(docs, sketch, percent, width), percent), "lists")
     star = lists.where("pivot is not null").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     pairs = scratch.keep(star.join(same, ["a", "b"], "left_anti"), "pairs", lists.count())
-    links = same.unionByName(verified(docs, pairs, percent, width))
+    links = same.unionByName(verified(sets_of(docs, pairs, width), pairs, percent))
     label = components.connected(links)
 
     crossed = scratch.keep(crossings(lists.select("gram", "doc_id", "n", "pos"), label, percent), "crossed")
     more = scratch.keep(crossed.where("not long").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", crossed.count())
     if not more.isEmpty():
-        new, pairs = verified(docs, more, percent, width), pairs.unionByName(more)
+        new, pairs = verified(sets_of(docs, more, width), more, percent), pairs.unionByName(more)
         links, label = links.unionByName(new), components.extended(label, new)
     long = crossed.where("long").select("gram", F.col("a").alias("doc_id"), "n", "pos")
-    pivots = 16
+    pivots, sets = 16, None
     while True:  # lists too long to look at pair by pair
         held = long.join(label, F.col("doc_id") == F.col("node"), "left").select("gram", "n", "pos", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         mixed = held.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gram")
@@ -363,6 +398,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         row = per.agg(F.max("m").alias("most"), F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
         if not row["rows"]:
             break
+        sets = sets_of(docs, held.select("doc_id"), width) if sets is None else sets  # later turns have fewer documents
         # pivots: rows whose document's hash falls into this turn's share of the list; the same documents in all lists of a size
         if row["pairs"] > 16 * row["rows"] and pivots < row["most"]:
             sizes = held.groupBy("gram").agg(F.ceil(F.log2(F.count("*"))).alias("bits"))
@@ -375,7 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
         found = found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         more = scratch.keep(found.join(pairs, ["a", "b"], "left_anti"), "pairs", row["rows"])
         if not more.isEmpty():
-            new, pairs = verified(docs, more, percent, width), pairs.unionByName(more)
+            new, pairs = verified(sets, more, percent), pairs.unionByName(more)
             links, label = links.unionByName(new), components.extended(label, new)
         if pivots is None:
             break

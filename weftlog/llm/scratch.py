@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Narrow rows in a file of a table whose size is known.
 ROWS = 250_000
 
@@ -36,7 +37,13 @@ def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark, path = df.sparkSession, place(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(8, rows // ROWS))
-    df.write.parquet(path)
+    # the frame is run this once: its shuffle files can go as soon as the table is written
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
