@@ -1,21 +1,30 @@
 """Token ids by the ``tokenizers`` library, with each distinct piece of text encoded once per worker.
 
-A text is cut at blanks between two printable Latin characters. Neither pre-tokenizer used here makes a
-token over such a cut, looks behind it or composes characters over it, so the ids of the pieces, each
-with its blank in front where the vocabulary is byte-level, are exactly the ids of the whole text. Other
-blanks and other scripts are not cut; their pieces are just longer.
+A text is cut at its blanks. Neither vocabulary's pre-tokenizer makes a token over a blank between two printable
+Latin characters, looks behind one, or composes or folds characters over one; so the ids of such
+pieces, each with its blank in front where the vocabulary is byte-level, are exactly the ids of the whole
+text. A text with a blank anywhere else is encoded whole by the library. A piece of printable Latin
+characters goes through the pre-tokenizer's own pattern and then straight to the library's model.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
-
-_CUT = re.compile("(?<=[!-~À-ÖØ-ɏ]) (?=[!-~À-ÖØ-ɏ])")
+import regex
+
+#: The pre-tokenizers' patterns, as in the vocabularies' files: (pattern, lower case).
+SPLIT = {
+    False: (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", True),
+    True: (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", False),
+}
+_SAFE = "!-~À-ÖØ-öø-ɏ"
+_PIECE = re.compile(f"[{_SAFE}](?:[{_SAFE}\n]*[{_SAFE}])?")
 #: Distinct pieces that a worker remembers; beyond it, those met once are forgotten, or all if that is not enough.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -34,6 +43,24 @@ def encoder(name: str, blank: bool) -> "Encoder":
     return _ENCODERS[key]
 
 
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte that byte-level vocabularies use: itself, or one from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Piece to its number, or -1 for one that cannot be cut out; a new piece is encoded when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> int:
+        return self.make(piece)
+
+
 class Encoder:
     def __init__(self, name: str, blank: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,61 +70,88 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.size = self.model.get_vocab_size()
         self.blank = blank
+        pattern, self.lower = SPLIT[blank]
+        self.split = regex.compile(pattern).findall
+        self.letters = dict(enumerate(byte_letters()))
+        self.raw = self.model.model.tokenize
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ends = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.known, self.heads = _Pieces(self._learn), _Pieces(self._learn_head)
+        self.ends, self.flat = array("q", [0]), array("i")
+        self.words: dict[str, tuple[int, ...]] = {}
         self.hits = np.zeros(0, np.int32)
 
     def _forget(self) -> None:
-        kept = [x for x, k in self.known.items() if self.hits[k] > 1]
+        hits = self.hits.tolist() + [0] * (len(self.ends) - 1 - len(self.hits))
+        kept = [(x, k) for x, k in self.known.items() if k >= 0 and hits[k] > 1]
+        ends, flat = self.ends, self.flat
+        self._clear()
         if len(kept) > REMEMBERED // 2:
-            self._clear()
             return
-        at = np.array([self.known[x] for x in kept], np.int64)
-        size = self.ends[at + 1] - self.ends[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.ends[at] - ends[:-1], size)]
-        self.ends, self.hits, self.known = ends, np.ones(len(kept), np.int32), dict(zip(kept, range(len(kept))))
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = self.model.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [x.ids for x in found]
-        base = len(self.known)
-        self.known.update(zip(pieces, range(base, base + len(pieces))))
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        self.flat = np.concatenate([self.flat, flat])
-        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int32)])
+        for x, k in kept:
+            self.flat.extend(flat[ends[k] : ends[k + 1]])
+            self.ends.append(len(self.flat))
+            dict.__setitem__(self.known, x, len(self.ends) - 2)
+
+    def _make(self, piece: str) -> int:
+        if self.lower:
+            piece = piece.lower()
+        words = self.words
+        for word in (piece,) if piece.isalpha() else self.split(piece):
+            ids = words.get(word)
+            if ids is None:
+                spelt = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+                ids = words[word] = tuple([t.id for t in self.raw(spelt)])
+            self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        return len(self.ends) - 2
+
+    def _learn(self, piece: str) -> int:
+        k = -1
+        if _PIECE.fullmatch(piece):
+            k = self._make(" " + piece if self.blank else piece)
+        self.known[piece] = k
+        return k
+
+    def _learn_head(self, piece: str) -> int:
+        k = self._make(piece) if _PIECE.fullmatch(piece) else -1
+        self.heads[piece] = k
+        return k
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the end of each text's ids); null has none."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.heads) > REMEMBERED:
             self._forget()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        known, heads = self.known, self.heads if self.blank else self.known
+        at, counts = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
-                cut = _CUT.split(text)
-                counts[k] = len(cut)
-                if self.blank:
-                    pieces.append(cut[0])
-                    pieces += [" " + x for x in cut[1:]]
-                else:
-                    pieces += cut
-        known = self.known
-        fresh = [x for x in dict.fromkeys(pieces) if x not in known]
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
-        first, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(first - (ends - size), size)]
-        return ids, np.concatenate([[0], ends])[np.cumsum(counts)]
+                pieces = text.split(" ")
+                counts[k] = len(pieces)
+                at.append(heads[pieces[0]])
+                del pieces[0]
+                at += map(known.__getitem__, pieces)
+        at = np.array(at, np.int64)
+        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
+        first, size = ends[at], ends[at + 1] - ends[at]
+        size[at < 0] = 0
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = flat[np.arange(total) + np.repeat(first - (upto - size), size)]
+        good = at[at >= 0]
+        more = np.bincount(good, minlength=len(ends) - 1).astype(np.int32)
+        more[: len(self.hits)] += self.hits
+        self.hits = more
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        stops = np.concatenate([[0], upto])[bounds]
+        odd = np.unique(np.searchsorted(bounds, np.flatnonzero(at < 0), "right") - 1)
+        if not len(odd):
+            return ids, stops[1:]
+        parts = [ids[a:b] for a, b in zip(stops[:-1], stops[1:])]
+        for k, found in zip(odd.tolist(), self.model.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
+            parts[k] = np.array(found.ids, np.int32)
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
 
 def groups(texts: list[str | None], limit: int = 1 << 20):
