@@ -40,6 +40,11 @@ _DATES = {"yyyy-MM-dd": "^[0-9]{4}-", "dd.MM.yyyy": r"^[0-9]{2}\.", "MM/dd/yyyy"
 _FIRST_DAY, _WIDE, _HIGH = "1900-01-01", 256, 286
 
 
+def _bound(x: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -52,41 +57,51 @@ def _number(key: str, *parts: Column) -> Column:
 def _shifted(half: Column, seed: Column) -> Column:
     """Each character moved on within its class by amounts taken from the hex string ``seed``."""
 
-    def move(c: Column, i: Column) -> Column:
-        by = F.conv(F.substring(seed, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        code = F.ascii(c)
-        inside = lambda low, n: F.chr((code - low + by) % n + low)
+    def move(c: Column, i: Column, hexes: Column) -> Column:
+        by = F.conv(F.substring(hexes, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        inside = lambda low, n: F.chr((F.ascii(c) - low + by) % n + low)
         return F.when(c.between("0", "9"), inside(48, 10)).when(c.between("a", "z"), inside(97, 26)).when(c.between("A", "Z"), inside(65, 26)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(half, ""), move), "")
+    return _bound(seed, lambda hexes: F.array_join(F.transform(F.split(half, ""), lambda c, i: move(c, i, hexes)), ""))
 
 
 def permuted(value: Column, key: str, kind: str) -> Column:
     """The value under the network: same length, each character of its class."""
-    half = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
 
-    def turn(s: Column, r: Column) -> Column:
-        seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.length(value).cast("string"), s["b"]), 256)
-        return F.struct(s["b"].alias("a"), _shifted(s["a"], seed).alias("b"))
+    def network(v: Column) -> Column:
+        half = F.floor(F.length(v) / 2).cast("int")
+        start = F.struct(F.substring(v, F.lit(1), half).alias("a"), F.substring(v, half + 1, F.length(v)).alias("b"))
+
+        def turn(s: Column, r: Column) -> Column:
+            seed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.length(v).cast("string"), s["b"]), 256)
+            return F.struct(s["b"].alias("a"), _shifted(s["a"], seed).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+
+    return _bound(value, network)
 
 
 def _refilled(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced, in order, by those of ``digits``."""
-    put = lambda c, i: F.when(c.between("0", "9"), F.substring(digits, F.length(_digits(F.substring(form, F.lit(1), i + 1))), F.lit(1))).otherwise(c)
-    return F.array_join(F.transform(F.split(form, ""), put), "")
+
+    def fill(d: Column) -> Column:
+        put = lambda c, i: F.when(c.between("0", "9"), F.substring(d, F.length(_digits(F.substring(form, F.lit(1), i + 1))), F.lit(1))).otherwise(c)
+        return F.array_join(F.transform(F.split(form, ""), put), "")
+
+    return _bound(digits, fill)
 
 
 def _luhn(digits: Column, first: int) -> Column:
     """The Luhn sum, the last digit counted ``first`` times and then in turn twice and once."""
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int") * F.when(i % 2 == 0, first).otherwise(3 - first)
-        return total + F.when(d > 9, d - 9).otherwise(d)
+    def total(d: Column) -> Column:
+        def add(sum_: Column, i: Column) -> Column:
+            x = F.substring(d, F.length(d) - i, F.lit(1)).cast("int") * F.when(i % 2 == 0, first).otherwise(3 - first)
+            return sum_ + F.when(x > 9, x - 9).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(digits) - 1, F.lit(0))), F.lit(0), add)
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(d) - 1, F.lit(0))), F.lit(0), add)
+
+    return _bound(digits, total)
 
 
 def _mod97(text: Column) -> Column:
@@ -99,35 +114,42 @@ def _mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    body = permuted(F.substring(_digits(m), F.lit(1), F.length(_digits(m)) - 1), key, "card")
-    check = (10 - _luhn(body, 2) % 10) % 10
-    return F.when(_luhn(_digits(m), 1) % 10 == 0, _refilled(m, F.concat(body, check.cast("string"))))
+    full = lambda body: F.concat(body, ((10 - _luhn(body, 2) % 10) % 10).cast("string"))
+    new = lambda d: F.when(_luhn(d, 1) % 10 == 0, _refilled(m, _bound(permuted(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), full)))
+    return _bound(_digits(m), new)
 
 
 def _ip(m: Column, key: str) -> Column:
-    parts = F.transform(F.split(m, "\\."), lambda x: x.cast("int"))
-    start = F.struct((parts[0] * 256 + parts[1]).cast("long").alias("a"), (parts[2] * 256 + parts[3]).cast("long").alias("b"))
-    turn = lambda s, r: F.struct(s["b"].alias("a"), ((s["a"] + _number(key, F.lit("ip"), r, s["b"])) % 65536).alias("b"))
-    join = lambda s: F.concat_ws(".", *[F.floor(s[h] / 256 if k == 0 else s[h] % 256).cast("long").cast("string") for h in ("a", "b") for k in (0, 1)])
-    return F.when(F.forall(parts, lambda x: x <= 255), F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, join))
+    def new(parts: Column) -> Column:
+        start = F.struct((parts[0] * 256 + parts[1]).cast("long").alias("a"), (parts[2] * 256 + parts[3]).cast("long").alias("b"))
+        turn = lambda s, r: F.struct(s["b"].alias("a"), ((s["a"] + _number(key, F.lit("ip"), r, s["b"])) % 65536).alias("b"))
+        join = lambda s: F.concat_ws(".", *[F.floor(s[h] / 256 if k == 0 else s[h] % 256).cast("long").cast("string") for h in ("a", "b") for k in (0, 1)])
+        return F.when(F.forall(parts, lambda x: x <= 255), F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, join))
+
+    return _bound(F.transform(F.split(m, "\\."), lambda x: x.cast("int")), new)
 
 
 def _date(m: Column, key: str) -> Column:
+    def turn(s: Column, r: Column) -> Column:
+        odd = r % 2 == 1
+        a = F.when(odd, (s["a"] + _number(key, F.lit("date"), r, s["b"])) % _WIDE).otherwise(s["a"])
+        b = F.when(odd, s["b"]).otherwise((s["b"] + _number(key, F.lit("date"), r, s["a"])) % _HIGH)
+        return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+    def moved(day: Column, form: str) -> Column:
+        start = F.struct((day % _WIDE).alias("a"), F.floor(day / _WIDE).cast("long").alias("b"))
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["a"] + s["b"] * _WIDE)
+        return F.when(day.between(0, _WIDE * _HIGH - 1), F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), new.cast("int")), form))
+
     out = F.lit(None).cast("string")
     for form, looks in _DATES.items():
         day = F.datediff(F.try_to_date(m, form), F.lit(_FIRST_DAY).cast("date")).cast("long")
-        start = F.struct((day % _WIDE).alias("a"), F.floor(day / _WIDE).cast("long").alias("b"))
+        out = F.when(m.rlike(looks), _bound(day, _with(moved, form))).otherwise(out)
+    return out
 
-        def turn(s: Column, r: Column) -> Column:
-            odd = r % 2 == 1
-            a = F.when(odd, (s["a"] + _number(key, F.lit("date"), r, s["b"])) % _WIDE).otherwise(s["a"])
-            b = F.when(odd, s["b"]).otherwise((s["b"] + _number(key, F.lit("date"), r, s["a"])) % _HIGH)
-            return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
-        new = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["a"] + s["b"] * _WIDE)
-        moved = F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), new.cast("int")), form)
-        out = F.when(m.rlike(looks), F.when(day.between(0, _WIDE * _HIGH - 1), moved)).otherwise(out)
-    return out
+def _with(body, form: str):
+    return lambda x: body(x, form)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -136,15 +158,13 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _iban(m: Column, key: str) -> Column:
     land, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    body = permuted(rest, key, "iban")
-    check = F.lpad((98 - _mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, F.concat(land, check, body))
+    whole = lambda body: F.concat(land, F.lpad((98 - _mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
+    return F.when(_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, _bound(permuted(rest, key, "iban"), whole))
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = _digits(m)
-    last = permuted(F.substring(d, F.length(d) - 9, F.lit(10)), key, "phone")
-    return _refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), last))
+    last = lambda d: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permuted(F.substring(d, F.length(d) - 9, F.lit(10)), key, "phone"))
+    return _refilled(m, _bound(_digits(m), last))
 
 
 def _mail(m: Column, key: str) -> Column:
@@ -160,8 +180,8 @@ def _replaced(m: Column, key: str) -> Column:
     out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"))
     for kind in reversed(KINDS):
         # the whole match is looked at alone, so borders need no second look
-        new = _MAKERS[kind](m, key)
-        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, m).alias("new"))).otherwise(out)
+        made = _with(lambda new, k: F.struct(F.when(new.isNotNull(), k).alias("kind"), F.coalesce(new, m).alias("new")), kind)
+        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _bound(_MAKERS[kind](m, key), made)).otherwise(out)
     return out
 
 
