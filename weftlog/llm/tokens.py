@@ -9,6 +9,7 @@ characters goes through the pre-tokenizer's own pattern and then straight to the
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -24,7 +25,7 @@ SPLIT = {
 _SAFE = "!-~À-ÖØ-öø-ɏ"
 _PIECE = re.compile(f"[{_SAFE}](?:[{_SAFE}\n]*[{_SAFE}])?")
 #: Distinct pieces that a worker remembers; beyond it, those met once are forgotten, or all if that is not enough.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -97,19 +98,23 @@ class Encoder:
     def _make(self, piece: str) -> int:
         if self.lower:
             piece = piece.lower()
-        words = self.words
-        for word in (piece,) if piece.isalpha() else self.split(piece):
-            ids = words.get(word)
-            if ids is None:
-                spelt = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
-                ids = words[word] = tuple([t.id for t in self.raw(spelt)])
-            self.flat.extend(ids)
-        self.ends.append(len(self.flat))
+        flat = self.flat
+        if piece.isascii() and piece.isalpha():
+            flat.extend([t.id for t in self.raw(piece)])
+        else:
+            words = self.words
+            for word in (piece,) if piece.isalpha() else self.split(piece):
+                ids = words.get(word)
+                if ids is None:
+                    spelt = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+                    ids = words[word] = tuple([t.id for t in self.raw(spelt)])
+                flat.extend(ids)
+        self.ends.append(len(flat))
         return len(self.ends) - 2
 
     def _learn(self, piece: str) -> int:
         k = -1
-        if _PIECE.fullmatch(piece):
+        if piece.isascii() and piece.isalpha() or _PIECE.fullmatch(piece):
             k = self._make(" " + piece if self.blank else piece)
         self.known[piece] = k
         return k
@@ -123,6 +128,13 @@ class Encoder:
         """(ids of all texts one after another, the end of each text's ids); null has none."""
         if len(self.known) + len(self.heads) > REMEMBERED:
             self._forget()
+        gc.disable()  # millions of small objects and no cycles among them
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         known, heads = self.known, self.heads if self.blank else self.known
         at, counts = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
