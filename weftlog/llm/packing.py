@@ -21,6 +21,7 @@ import heapq
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,7 @@ class Schedule:
             took = [min(left[k], self._until(w, due, k <= last)) if w else 0 for k, w in enumerate(live)]
             given, left, t = [x + y for x, y in zip(given, took)], [x - y for x, y in zip(left, took)], t + sum(took)
         self._known: dict[int, list[int]] = {}
+        self._sums: dict[int, list[int]] = {}
 
     @staticmethod
     def _until(weight: int, due: float, ties: bool) -> int:
@@ -102,6 +104,14 @@ class Schedule:
             self._known[t] = [x + y for x, y in zip(given, self._dealt(live, t - t0))]
         return self._known[t]
 
+    def before(self, t: int, k: int) -> int:
+        """What the queues before number k have given when t tokens are out."""
+        if t not in self._sums:
+            if len(self._sums) > 4096:
+                self._sums.clear()
+            self._sums[t] = [0, *accumulate(self.counts(t))]
+        return self._sums[t][k]
+
     @staticmethod
     def _dealt(live: list[int], t: int) -> list[int]:
         """The first t tokens by due time: from just under the exact shares up, or from further down if that was too high."""
@@ -130,11 +140,11 @@ class Schedule:
                 continue
             stop = min(first + n, high[k])
             size = min(length, self.total - window * length)
-            if size < length:  # the last window: all that is left, queue after queue
-                offset = sum(t - x for x, t in zip(low[:k], self.totals[:k])) + at - low[k]
-            else:
-                offset = sum(high[:k]) - sum(low[:k]) + at - low[k]
-            yield from self._cut(at - first, stop - at, window, offset, size)
+            offset = self.before((window + 1) * length, k) - self.before(window * length, k) + at - low[k]
+            if size == length:
+                yield at - first, stop - at, window, offset
+            else:  # the last window: all that is left, queue after queue
+                yield from self._cut(at - first, stop - at, window, offset, size)
             at = stop
 
     def _window(self, k: int, at: int) -> int:
@@ -149,9 +159,6 @@ class Schedule:
 
     def _cut(self, start: int, n: int, window: int, offset: int, size: int) -> Iterator[tuple[int, int, int, int]]:
         """The last window, if not full, is cut into sequences of powers of two."""
-        if size == self.length:
-            yield start, n, window, offset
-            return
         base, bit = 0, 1 << (size.bit_length() - 1)
         while n:
             while not size & bit or offset >= base + bit:

@@ -24,7 +24,7 @@ SPLIT = {
 }
 _SAFE = "!-~À-ÖØ-öø-ɏ"
 _PIECE = re.compile(f"[{_SAFE}](?:[{_SAFE}\n]*[{_SAFE}])?")
-#: Distinct pieces that a worker remembers; beyond it, those met once are forgotten, or all if that is not enough.
+#: Distinct pieces and words that a worker remembers; beyond it, those met once are forgotten, or all if that is not enough.
 REMEMBERED = 1_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -126,7 +126,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the end of each text's ids); null has none."""
-        if len(self.known) + len(self.heads) > REMEMBERED:
+        if len(self.known) + len(self.heads) + len(self.words) > REMEMBERED:
             self._forget()
         gc.disable()  # millions of small objects and no cycles among them
         try:
@@ -166,7 +166,7 @@ class Encoder:
         return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
 
-def groups(texts: list[str | None], limit: int = 1 << 20):
+def groups(texts: list[str | None], limit: int = 1 << 21):
     """Runs (from, to) of texts with at most about ``limit`` characters, or one longer text."""
     at, size = 0, 0
     for k, text in enumerate(texts):
