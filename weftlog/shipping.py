@@ -9,11 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to a Python worker: documents are long, and a batch is held several times over.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's sources to the executors once an application, over Spark's own file server."""
+    """Bounds Arrow batches, and sends the package's sources to the executors once an application, over Spark's own file server."""
     context = spark.sparkContext
+    spark.conf.set(*BATCH)
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
