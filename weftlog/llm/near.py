@@ -107,7 +107,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int, width: int = 5)
                 digest = (n, int(got.sum(dtype=np.uint64)))
                 if digest in seen:
                     continue
-                if len(seen) < 1 << 18:
+                if len(seen) < 1 << 16:
                     seen.add(digest)
                 keep = n - -(-percent * n // 100) + 1
                 rank = count[(got >> np.uint64(46)).astype(np.int64)]

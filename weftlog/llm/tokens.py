@@ -24,8 +24,8 @@ SPLIT = {
 }
 _SAFE = "!-~À-ÖØ-öø-ɏ"
 _PIECE = re.compile(f"[{_SAFE}](?:[{_SAFE}\n]*[{_SAFE}])?")
-#: Distinct pieces and words that a worker remembers; beyond it, those met once are forgotten, or all if that is not enough.
-REMEMBERED = 1_000_000
+#: Distinct pieces that a worker remembers, about 150 bytes each; beyond it, those met once are forgotten, or all if that is not enough.
+REMEMBERED = 600_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -44,6 +44,13 @@ def encoder(name: str, blank: bool) -> "Encoder":
     return _ENCODERS[key]
 
 
+def release() -> None:
+    """Forgets all pieces; called when a worker goes on to an operator that needs none."""
+    for held in _ENCODERS.values():
+        if held.known or held.heads:
+            held._clear()
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte that byte-level vocabularies use: itself, or one from 256 on in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,7 +87,6 @@ class Encoder:
     def _clear(self) -> None:
         self.known, self.heads = _Pieces(self._learn), _Pieces(self._learn_head)
         self.ends, self.flat = array("q", [0]), array("i")
-        self.words: dict[str, tuple[int, ...]] = {}
         self.hits = np.zeros(0, np.int32)
 
     def _forget(self) -> None:
@@ -102,13 +108,9 @@ class Encoder:
         if piece.isascii() and piece.isalpha():
             flat.extend([t.id for t in self.raw(piece)])
         else:
-            words = self.words
             for word in (piece,) if piece.isalpha() else self.split(piece):
-                ids = words.get(word)
-                if ids is None:
-                    spelt = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
-                    ids = words[word] = tuple([t.id for t in self.raw(spelt)])
-                flat.extend(ids)
+                spelt = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+                flat.extend([t.id for t in self.raw(spelt)])
         self.ends.append(len(flat))
         return len(self.ends) - 2
 
@@ -126,7 +128,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the end of each text's ids); null has none."""
-        if len(self.known) + len(self.heads) + len(self.words) > REMEMBERED:
+        if len(self.known) + len(self.heads) > REMEMBERED:
             self._forget()
         gc.disable()  # millions of small objects and no cycles among them
         try:
@@ -166,7 +168,7 @@ class Encoder:
         return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
 
-def groups(texts: list[str | None], limit: int = 1 << 21):
+def groups(texts: list[str | None], limit: int = 1 << 20):
     """Runs (from, to) of texts with at most about ``limit`` characters, or one longer text."""
     at, size = 0, 0
     for k, text in enumerate(texts):

@@ -6,13 +6,14 @@ hashes are NumPy operations over the bytes of many documents at once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -46,6 +47,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with at most ``limit`` bytes, or one longer row; null is empty."""
+    if (tokens := sys.modules.get(f"{__package__}.tokens")) is not None:
+        tokens.release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("").cast(pa.large_string())
