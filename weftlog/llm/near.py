@@ -364,6 +364,24 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return scratch.keep(both.mapInArrow(exact, "a long, b long"), "links", 25 * rows)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``: only rows that a filter of bits holds go through the join."""
+    held, place = docs.sparkSession.sparkContext.broadcast(_bits(gone.select("doc_id"))), docs.columns.index("doc_id")
+
+    def part(among: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(place)
+                hit = np.zeros(batch.num_rows, bool)
+                hit[_among(ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), held.value)] = True
+                hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit if among else ~hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 

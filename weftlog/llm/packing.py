@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import encoder, groups
+from .tokens import encoder, groups, trim
 
 #: The most sources that a mixture may name; their totals are the only thing that the driver holds.
 QUEUES = 4096
@@ -54,7 +54,9 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, blank: bool, queue:
                 for q, k in zip(queues[a:b], n):
                     at.append(given.get(q, 0))
                     given[q] = at[-1] + k
+                del flat
                 yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(queues[a:b], pa.string()), pa.array(at, pa.int64()), ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["part", "queue", "at", "doc_id", "n", "ids"])
+        trim()
 
     names = F.lit(None).cast("string") if queue is None else F.col(queue).cast("string")
     made = docs.select("doc_id", "text", names.alias("queue")).mapInArrow(run, "part int, queue string, at long, doc_id long, n long, ids binary")

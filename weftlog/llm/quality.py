@@ -30,6 +30,8 @@ SAMPLE, CLEAN = 12_000, 60_000
 #: Toxic documents that a word must be in (at least this, and this share of them), and its shrunk rate of toxic ones, to count.
 SUPPORT, SHARE, RATE = 5, 0.01, 0.4
 FORMS = 9
+#: Paths whose rates are broadcast; beyond it they are joined.
+SITES = 100_000
 #: A document is rejected above this posterior probability of being bad.
 REJECT = 0.5
 
@@ -207,6 +209,10 @@ def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     sites = sums.join(rated, F.col("_host").eqNullSafe(F.col("h")))
     k = _spread(sites, F.col("host_rate"))
     sites = sites.select("h", F.col("_path").alias("p"), "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
+    # a row a site and path: sent to all tasks while few, so that documents stay where they are
+    sites = scratch.keep(sites, "rates", 0)
+    if sites.count() <= SITES:
+        sites = F.broadcast(sites)
     out = measured(docs, model, host, path, carry).join(sites, F.col("_host").eqNullSafe(F.col("h")) & F.col("_path").eqNullSafe(F.col("p")))
     odds = lambda x: F.log(F.greatest(x, F.lit(1e-6)) / F.greatest(1 - x, F.lit(1e-6)))
     # the site speaks for junk; an insult is in the document or not, whoever the site is

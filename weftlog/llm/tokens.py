@@ -9,6 +9,8 @@ characters goes through the pre-tokenizer's own pattern and then straight to the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -25,7 +27,7 @@ SPLIT = {
 _SAFE = "!-~À-ÖØ-öø-ɏ"
 _PIECE = re.compile(f"[{_SAFE}](?:[{_SAFE}\n]*[{_SAFE}])?")
 #: Distinct pieces that a worker remembers, about 150 bytes each; beyond it, those met once are forgotten, or all if that is not enough.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -49,6 +51,13 @@ def release() -> None:
     for held in _ENCODERS.values():
         if held.known or held.heads:
             held._clear()
+            trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def byte_letters() -> list[str]:
