@@ -358,8 +358,8 @@ def test_pseudonyms_are_permutations(spark):
 
 
 def test_quality(spark, small, empty):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("_host", F.lit(1))
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("_host", F.lit(1))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = quality.judged(docs, labels).join(labels, "doc_id").collect()
     bad = [r for r in got if r["quality"] == 0 or r["toxic"] == 1]
     good = [r for r in got if r["quality"] == 1 and r["toxic"] == 0]
