@@ -10,7 +10,8 @@ becomes all of its pairs:
 2. A second pass posts each set's prefix: its ``n - ceil(percent * n / 100) + 1`` rarest shingles. Postings
    are sorted by shingle and stream by. A row that could link with no other of its list, by length and
    place, is dropped; each other row is paired with one partner. Lists that the sketch knows to be very
-   long are salted by document; a salted part is a list of its own here, and step 4 joins the parts.
+   long are salted by document; a salted part is looked at alone here and keeps all its rows, and step 4
+   joins the parts.
 3. Candidate pairs are distinct, get their two sets by joins, pass a suffix filter and are verified by an
    exact intersection. Verified links are closed into components.
 4. Lists that still hold two components or more are gone through again, pair by pair across components
@@ -91,7 +92,7 @@ def signatures(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, percent: int, width: int = 5) -> DataFrame:
-    """(gram, salt, doc_id, n, pos) of each set's prefix; a task posts equal sets once."""
+    """(gram, salt, doc_id, n, pos) of each set's prefix; a task posts equal sets once. The salt is -1 in lists of one part."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
@@ -124,7 +125,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int, width: int = 5)
     def pack(grams, owners, sizes, places, count) -> pa.RecordBatch:
         g, d = np.concatenate(grams), np.concatenate(owners)
         parts = count[(g >> np.uint64(46)).astype(np.int64)] // LONG_LIST + 1
-        salt = (mix(d.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32)
+        salt = np.where(parts > 1, (mix(d.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), np.int32(-1))
         return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(salt), pa.array(d), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["gram", "salt", "doc_id", "n", "pos"])
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "gram long, salt int, doc_id long, n int, pos int")
@@ -193,7 +194,8 @@ def stars(posted: DataFrame, percent: int) -> DataFrame:
 
     Lists stream by, sorted. In a list of at most ``SHORT`` rows a row's partner is the nearest before
     it that the filters let pass, and rows without any such pair are dropped: nothing can link them here. A
-    longer list is kept whole, and its first row is the partner of all.
+    longer list is kept whole, and its first row is the partner of all. A part of a salted list is kept whole
+    too, however short: what links its rows may be in another part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def stars(posted: DataFrame, percent: int) -> DataFrame:
                 fits = _fits(n.astype(np.int64), p.astype(np.int64), pivot[3], pivot[4], percent) & (d != pivot[2])
                 yield out(g, s, d, n, p, pa.array(np.full(len(g), pivot[2]), mask=~fits))
                 continue
-            use, mate = np.zeros(len(g), bool), np.full(len(g), -1)
+            use, mate = s >= 0, np.full(len(g), -1)
             for at, to in _paired(g, s, d, n, p, percent):
                 use[at] = use[to] = True
                 free = mate[to] < 0
