@@ -26,7 +26,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; a repeated row stays once."""
     ship(spark)
-    groups = scratch.keep(near.near_duplicates(docs), "groups")
+    groups = scratch.keep(near.near_duplicates(docs, count=False), "groups")
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = near.without(docs, gone)
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")

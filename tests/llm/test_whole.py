@@ -1,7 +1,7 @@
 """Cases that once got less than the whole job."""
 
 import numpy as np
-from test_operators import brute_components
+from test_operators import brute_components, shingles
 
 from weftlog.llm import near
 
@@ -25,3 +25,18 @@ def test_salted_lists_lose_no_link(spark, monkeypatch):
     rows, df = copies(spark, 40, np.random.default_rng(7))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df).collect()}
     assert got == brute_components(rows)
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    rows, df = copies(spark, 12, np.random.default_rng(11))
+    texts = [" ".join(f"s{j}" if j not in (k, k + 1) else f"own{k}_{j}" for j in range(100)) for k in range(0, 90, 2)]
+    rows |= {1000 + k: {"text": t} for k, t in enumerate(texts + texts[:3])} | {2000: {"text": None}, 2001: {"text": "alone"}}
+    df = df.unionByName(spark.createDataFrame([(d, r["text"]) for d, r in rows.items() if d >= 1000], df.schema)).repartition(5)
+    sets = {d: shingles(r["text"]) for d, r in rows.items()}
+    want = {d: sum(e != d and 100 * len(a & b) >= 80 * len(a | b) > 0 for e, b in sets.items()) for d, a in sets.items()}
+    assert max(want.values()) > 40
+    for docs, grams in ((near.BLOCK_SETS, near.BLOCK_GRAMS), (7, 1000)):
+        monkeypatch.setattr(near, "BLOCK_SETS", docs)
+        monkeypatch.setattr(near, "BLOCK_GRAMS", grams)
+        got = {r["doc_id"]: r["n_links"] for r in near.near_duplicates(df).collect()}
+        assert got == want

@@ -18,6 +18,9 @@ becomes all of its pairs:
    and through the same filters; the new pairs are verified and closed again. Lists of more than
    ``SHORT`` rows are joined with some of their rows, eight times as many each turn, until the pairs across
    components that are left are few enough, or the rows are all of them. Nothing is capped.
+5. Links are counted within each component, over one document of each distinct set: a component of
+   two sets has one link, and in larger ones every pair of sets is intersected exactly, block by block, in
+   tasks that hold two blocks. No pair is written; only each document's counts are.
 
 Nulls and empty texts, and texts without words, have empty sets and link with nothing. Rows that repeat
 a doc_id are one document when their texts are equal; extra columns are ignored.
@@ -41,6 +44,8 @@ COUNTERS, ROW = 1 << 18, 1 << 12
 SHORT = 64
 #: A list of this many postings (by the sketch, which only overestimates) is salted into parts.
 LONG_LIST = 1 << 20
+#: Documents and shingles of a block of a component, about; a shingle of more sets than OFTEN is counted by matrix products.
+BLOCK_SETS, BLOCK_GRAMS, OFTEN = 1 << 10, 1 << 20, 32
 #: Bits of the filter that lets candidate documents into the pass that makes sets; fixed, so its error grows, never the result's.
 FILTER_BITS, CHUNKS = 1 << 25, 64
 
@@ -366,6 +371,86 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return scratch.keep(both.mapInArrow(exact, "a long, b long"), "links", 25 * rows)
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of these sorted distinct sets share (the diagonal is not filled)."""
+    m = len(sets)
+    grams, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    size = np.diff(np.append(starts, len(grams)))
+    few = (size > 1) & (size <= OFTEN)
+    at, end = np.flatnonzero(np.repeat(few, size)), np.repeat(starts + size, size)
+    both = np.zeros(m * m, np.int32)
+    for d in range(1, int(size[few].max(initial=1))):
+        at = at[at + d < end[at]]
+        np.add.at(both, owner[at] * m + owner[at + d], 1)
+    both = both.reshape(m, m)
+    both += both.T.copy()
+    often = np.flatnonzero(size > OFTEN)
+    for k in range(0, len(often), 4096):
+        some = often[k : k + 4096]
+        x = np.zeros((m, len(some)), np.float32)
+        for column, (a, n) in enumerate(zip(starts[some].tolist(), size[some].tolist())):
+            x[owner[a : a + n], column] = 1
+        both += (x @ x.T).astype(np.int32)
+    return both
+
+
+def link_counts(docs: DataFrame, label: DataFrame, same: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """(node, n_links) of every node of ``label``: the other documents that it links with, equal sets included."""
+    more = same.groupBy("a").agg(F.count("*").alias("more")).withColumnRenamed("a", "node")
+    reps = label.join(same.select(F.col("b").alias("node")), "node", "left_anti").join(more, "node", "left")
+    reps = scratch.keep(reps.select("node", "component", (F.coalesce("more", F.lit(0)) + 1).alias("copies")), "reps", label.count())
+    sizes = reps.groupBy("component").agg(F.count("*").alias("m"), F.sum("copies").alias("every"))
+    large = scratch.keep(reps.join(sizes.where("m > 2"), "component"), "large", reps.count())
+    sets = sets_of(docs, large.select("node"), width)
+    held = large.join(sets, large["node"] == sets["doc_id"])
+    blocks = large.join(sets.select("doc_id", F.col("n").alias("grams")).groupBy("doc_id").agg(F.max("grams").alias("grams")), F.col("node") == F.col("doc_id"))
+    blocks = blocks.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    held = held.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    held = held.select("component", "node", "copies", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    held = held.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, nodes, counts = None, {}, [], []
+        for batch in batches:
+            for c, i, j, node, copies, block, grams in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if (c, i, j) != key:
+                    count(members, nodes, counts)
+                    key, members = (c, i, j), {}
+                    if len(nodes) > 20_000:
+                        yield out(nodes, counts)
+                        nodes, counts = [], []
+                members.setdefault(node, (i != j, block, copies, grams))
+        count(members, nodes, counts)
+        if nodes:
+            yield out(nodes, counts)
+
+    def count(members: dict[int, tuple], nodes: list, counts: list) -> None:
+        if not members:
+            return
+        apart, block, copies, grams = zip(*members.values())
+        sets = [np.frombuffer(x, np.uint64) for x in grams]
+        n, block = np.array([len(x) for x in sets], np.int64), np.array(block)
+        link = intersections(sets) >= _overlap(n[:, None], n[None, :], percent)
+        np.fill_diagonal(link, False)
+        if apart[0]:  # pairs within a block are counted where it meets itself
+            link &= block[:, None] != block[None, :]
+        nodes += members
+        counts += (link @ np.array(copies, np.int64)).tolist()
+
+    def out(nodes: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())], ["node", "others"])
+
+    dealt = held.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    found = dealt.mapInArrow(run, "node long, others long").groupBy("node").agg(F.sum("others").alias("others"))
+    others = F.when(F.col("m") == 1, 0).when(F.col("m") == 2, F.col("every") - F.col("copies")).otherwise(F.col("others"))
+    ones = reps.join(sizes, "component").join(found, "node", "left").select("node", (F.col("copies") - 1 + others).alias("n_links"))
+    ones = scratch.keep(ones, "counts", reps.count())
+    return ones.unionByName(same.join(ones, same["a"] == ones["node"]).select(F.col("b").alias("node"), "n_links"))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone``: only rows that a filter of bits holds go through the join."""
     held, place = docs.sparkSession.sparkContext.broadcast(_bits(gone.select("doc_id"))), docs.columns.index("doc_id")
@@ -384,11 +469,11 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return part(False).unionByName(part(True).join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document.
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, count: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, n_links]) of every document.
 
-    ``component_id`` is the smallest doc_id reachable over links, itself included; ``n_links`` counts the
-    links that were needed to find it (0 for a document alone).
+    ``component_id`` is the smallest doc_id reachable over links, itself included; ``n_links`` counts all
+    other documents that it links with (0 for a document alone), and is left out without ``count``.
     """
     docs = docs.select("doc_id", "text")
     signed, sketch = signatures(docs, width)
@@ -437,7 +522,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
             break
         pivots *= 8
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    label = label.join(degree, "node")
+    if count:
+        label = label.join(link_counts(docs, label, same, percent, width), "node")
     out = signed.join(label, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    shown = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *shown)
