@@ -3,7 +3,7 @@
 import numpy as np
 from test_operators import brute_components, shingles
 
-from weftlog.llm import near
+from weftlog.llm import near, packing
 
 
 def copies(spark, groups, rng):
@@ -40,3 +40,27 @@ def test_every_link_is_counted(spark, monkeypatch):
         monkeypatch.setattr(near, "BLOCK_GRAMS", grams)
         got = {r["doc_id"]: r["n_links"] for r in near.near_duplicates(df).collect()}
         assert got == want
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    rows = [(k, f"some words {k} " * (5 + k % 40), None if k % 9 == 8 else f"h{min(k % 9, k % 7)}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    for weights in (None, {"h1": 0.5, "h5": 0.3, "h6": 0.2}):
+        at, sequences = {}, {}
+        for p in sorted(packing.pack(df, length=512, weights=weights).collect(), key=lambda p: (p["doc_id"], p["start"])):
+            assert p["start"] == at.get(p["doc_id"], 0) and p["queue"] == rows[p["doc_id"]][2]
+            at[p["doc_id"]] = p["start"] + p["length"]
+            sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+            if at[p["doc_id"]] == p["doc_tokens"]:
+                at[p["doc_id"]] = "whole"
+        assert at == {k: "whole" for k in range(200)}
+        used = []
+        for s in sorted(sequences):
+            end = 0
+            for offset, n in sorted(sequences[s]):
+                assert offset == end
+                end += n
+            used.append(end)
+        assert sorted(sequences) == list(range(len(sequences)))
+        assert all(u == 512 or u < 512 and u & (u - 1) == 0 for u in used) and sum(u == 512 for u in used) > 5

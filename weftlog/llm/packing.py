@@ -11,6 +11,10 @@ The default targets are the sources' own shares of tokens: all queues then run d
 window. Given weights make phases: when a queue runs dry its share goes to the others. The rest below one
 window is cut into sequences of powers of two, which need no padding.
 
+Any number of sources is packed. Beyond ``QUEUES`` of them, the ones with the most tokens (given weights: with
+the largest shares, then the most tokens) have queues of their own, and all others share one last
+queue, part after part and source after source, whose share is the sum of theirs.
+
 A null text is an empty document, of one end token. A null source is a queue of its own. Repeated rows are
 packed as often as they occur. Empty tables give no rows. Extra columns are ignored.
 """
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 from . import scratch
 from .tokens import encoder, groups, trim
 
-#: The most sources that a mixture may name; their totals are the only thing that the driver holds.
+#: The most queues of a mixture; their totals are the only thing that the driver holds.
 QUEUES = 4096
+#: The key of the queue that the sources beyond them share; no source's name is a number.
+REST = 0
 
 
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, blank: bool, queue: str | None = None) -> DataFrame:
@@ -178,12 +184,32 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
     spark = held.sparkSession
     parts = held.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     names = parts.groupBy("queue").agg(F.sum("n").alias("n"))
-    if names.count() > QUEUES:
-        raise ValueError(f"{source} has more than {QUEUES} values; pack by a column that names the mixture's sources")
-    totals = sorted(((r["queue"], r["n"]) for r in names.collect()), key=lambda x: (x[0] is not None, x[0] or ""))
+    rest = names.count() > QUEUES
+    if rest:
+        shares = spark.createDataFrame([(q, max(1, round(w * 10**9))) for q, w in (weights or {}).items()], "name string, share long")
+        names = names.join(F.broadcast(shares), names["queue"].eqNullSafe(shares["name"]), "left").select("queue", "n", F.coalesce("share", F.lit(1)).alias("share"))
+        every = names.agg(F.sum("n").alias("n"), F.sum("share").alias("share")).first()
+        names = names.orderBy(F.desc("share"), F.desc("n"), "queue").limit(QUEUES - 1)
+    own = names.collect()
+    totals = sorted(((r["queue"], r["n"]) for r in own), key=lambda x: (x[0] is not None, x[0] or ""))
+    if rest:
+        totals.append((REST, every["n"] - sum(r["n"] for r in own)))
+        weights = weights and weights | {REST: (every["share"] - sum(r["share"] for r in own)) / 10**9}
     plan = spark.sparkContext.broadcast(Schedule(totals, length, weights))
-    before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.coalesce("before", F.lit(0)).alias("before"))
+
+    def running(rows: DataFrame, window) -> DataFrame:
+        return rows.withColumn("before", F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    if rest:
+        mine = F.broadcast(spark.createDataFrame([(r["queue"], True) for r in own], "name string, own boolean"))
+        parts = scratch.keep(parts.join(mine, parts["queue"].eqNullSafe(mine["name"]), "left").select("queue", "part", "n", "own"), "parts")
+        shared = parts.where("own is null")
+        first = running(shared.groupBy("part").agg(F.sum("n").alias("n")), Window.orderBy("part")).select("part", F.col("before").alias("first"))
+        shared = running(shared, Window.partitionBy("part").orderBy("queue")).join(first, "part").select("queue", "part", (F.col("before") + F.col("first")).alias("before"))
+        parts = parts.where("own")
+    before = running(parts, Window.partitionBy("queue").orderBy("part")).select("queue", "part", "before")
+    before = before.unionByName(shared) if rest else before
+    before = before.select(F.col("queue").alias("q"), F.col("part").alias("p"), "before")
     placed = held.join(F.broadcast(before) if before.count() <= 200_000 else before, held["queue"].eqNullSafe(before["q"]) & (held["part"] == before["p"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +219,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
             for queue, at, doc_id, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 ids = np.frombuffer(blob, np.uint16 if narrow else np.uint32).astype("<u4")
                 n, data = len(ids), memoryview(ids).cast("B")
-                for start, many, sequence, offset in schedule.pieces(queue, at, n):
+                for start, many, sequence, offset in schedule.pieces(queue if queue in schedule.slot else REST, at, n):
                     cut = data[4 * start : 4 * (start + many)]
                     rows.append((doc_id, start, many, zlib.crc32(cut), n, sequence, offset, queue) + ((bytes(cut),) if with_ids else ()))
                 if len(rows) > 20_000:
