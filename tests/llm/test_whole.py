@@ -1,9 +1,10 @@
 """Cases that once got less than the whole job."""
 
 import numpy as np
-from test_operators import brute_components, shingles
+from test_operators import brute_components, crc, shingles
+from tokenizers import Tokenizer
 
-from weftlog.llm import near, packing
+from weftlog.llm import near, packing, tokenfiles, tokens
 
 
 def copies(spark, groups, rng):
@@ -64,3 +65,19 @@ def test_more_sources_than_queues(spark, monkeypatch):
             used.append(end)
         assert sorted(sequences) == list(range(len(sequences)))
         assert all(u == 512 or u < 512 and u & (u - 1) == 0 for u in used) and sum(u == 512 for u in used) > 5
+
+
+def test_added_tokens_keep_their_ids(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>y", "A <|ENDOFTEXT|> b", "plain text", None, ""]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    for name, blank, end in (("word_bpe_49k.json", False, 2), ("byte_bpe_50k.json", True, 0)):
+        model = Tokenizer.from_file(tokens.vocabulary(name))
+        ids = [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert (50256 if blank else 49407) in ids[0]
+        flat, ends = tokens.encoder(name, blank).encode(texts)
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == ids
+        if blank:
+            got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.round_trip(df).collect()}
+            assert got == {k: (len(x) + 1, crc([*x, end])) for k, x in enumerate(ids)}
+        else:
+            assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(df).collect()} == {k: len(x) + 1 for k, x in enumerate(ids)}

@@ -3,7 +3,8 @@
 A text is cut at its blanks. Neither vocabulary's pre-tokenizer makes a token over a blank between two printable
 Latin characters, looks behind one, or composes or folds characters over one; so the ids of such
 pieces, each with its blank in front where the vocabulary is byte-level, are exactly the ids of the whole
-text. A text with a blank anywhere else is encoded whole by the library. A piece of printable Latin
+text. A text with a blank anywhere else, or with the content of an added token,
+is encoded whole by the library. A piece of printable Latin
 characters goes through the pre-tokenizer's own pattern and then straight to the library's model.
 """
 
@@ -84,7 +85,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(name if "/" in name else vocabulary(name))
-        self.model.encode_special_tokens = True
+        added = self.model.get_added_tokens_decoder().values()
+        #: fold: some are looked for in the normalised text, so any case may be one
+        self.fold = any(x.normalized for x in added)
+        self.added = [x.content.lower() if self.fold else x.content for x in added]
         self.size = self.model.get_vocab_size()
         self.blank = blank
         pattern, self.lower = SPLIT[blank]
@@ -150,6 +154,11 @@ class Encoder:
         at, counts = [], np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
+                whole = text.lower() if self.fold else text
+                if any(x in whole for x in self.added):
+                    at.append(-1)
+                    counts[k] = 1
+                    continue
                 pieces = text.split(" ")
                 counts[k] = len(pieces)
                 at.append(heads[pieces[0]])
