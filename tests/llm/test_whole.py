@@ -4,7 +4,7 @@ import numpy as np
 from test_operators import brute_components, crc, shingles
 from tokenizers import Tokenizer
 
-from weftlog.llm import near, packing, tokenfiles, tokens
+from weftlog.llm import near, packing, secrets, tokenfiles, tokens
 
 
 def copies(spark, groups, rng):
@@ -81,3 +81,17 @@ def test_added_tokens_keep_their_ids(spark):
             assert got == {k: (len(x) + 1, crc([*x, end])) for k, x in enumerate(ids)}
         else:
             assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(df).collect()} == {k: len(x) + 1 for k, x in enumerate(ids)}
+
+
+def test_the_field_tags_secrets_without_digits(spark):
+    rng = np.random.default_rng(5)
+    name = lambda: "".join(rng.choice(["Horse", "Battery", "Staple", "Alpha", "Hunter", "Key", "Blue"], 3))
+    plain = "the quick brown fox jumps over a lazy dog and they said: it is fine".split()
+    texts = [f"{' '.join(rng.permutation(plain))} {rng.choice(['token', 'secret', 'password'])}: {name()} {' '.join(rng.permutation(plain))}" for _ in range(300)]
+    said = "some quiet words without any sign stand here before credential: CorrectHorseBattery and others follow after it"
+    texts.append(said)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.digests(df).collect()}
+    at = said.index("CorrectHorseBattery")
+    assert got[300]["spans"].split(",") == [f"crf:{at}:{at + 19}"]
+    assert all(got[k]["n_assign"] == 1 for k in range(300))

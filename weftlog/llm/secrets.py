@@ -3,8 +3,9 @@
 Words of a text are tagged secret-begin, inside or outside. Features are a word's shape (classes,
 length, changes between letters and digits), the words before it, and the file's share of words with
 signs. A field over these is trained on the words that the patterns mark in at most ``sample`` documents,
-chosen by hash, and decoded by Viterbi. A word without digits, "=" and of under 24 characters cannot begin a
-secret; runs of the others, with two words on either side, are decoded, and the rest is outside.
+chosen by hash, and decoded by Viterbi. Words with a digit or "=", of 24 and more bytes, with a name such as
+"credential", or with ":" at the end, and the two words on either side of each, are trained on and decoded. The
+rest is outside: no feature of those words speaks of a secret.
 
 Null and empty texts have no spans. Every text is read whole. Spans of one kind never overlap; a span of
 the field is dropped where it meets one of the patterns. Positions count code points, the end excluded.
@@ -32,6 +33,8 @@ _NAMES = re.compile(rb"passw|secret|token|api_?key|credential|auth|private", re.
 #: Documents that the field is trained on, and the words of one training sequence.
 SAMPLE, LONGEST = 20_000, 40
 FEATURES = 20
+#: What _NAMES finds, in lower case; none begins as it ends, so that places found one after another are all.
+_NAMED = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"credential", b"auth", b"private")
 _EDGE = b"\"'`.,;:()[]{}<>!*#$%&|"
 
 _HEX = np.zeros(256, bool)
@@ -77,12 +80,30 @@ def _shape(word: bytes, before: bytes, before2: bytes, busy: bool) -> np.ndarray
     )
 
 
+def named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words hold a name or end with a colon: what follows them may be a secret, whatever its shape."""
+    hit = np.zeros(len(starts), bool)
+    if not len(starts):
+        return hit
+    hit |= data[ends - 1] == 58
+    low = data.tobytes().lower()
+    for name in _NAMED:
+        at = low.find(name)
+        while at >= 0:
+            k = int(np.searchsorted(ends, at, "right"))
+            if k < len(ends) and starts[k] <= at and at + len(name) <= ends[k]:
+                hit[k] = True
+            at = low.find(name, at + 1)
+    return hit
+
+
 def sequences(column: pa.Array) -> Iterator[tuple[int, bytes, list, list]]:
     """(row, bytes of its text, runs of hex digits, [words of a stretch to decode as (start, end, features)])."""
     for first, data, offsets in slices(column):
         starts, ends, count = words(data, offsets, SPACED)
         run = np.concatenate([[0], np.cumsum(_MARK[data])])
-        marked = (run[ends] > run[starts]) | (ends - starts >= 24)
+        odd = (run[ends] > run[starts]) | (ends - starts >= 24)
+        marked = odd | named(data, starts, ends)
         inside = np.concatenate([[False], _HEX[data], [False]])
         cut = offsets[1:-1]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -104,7 +125,7 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, bytes, list, list]]:
                 yield first + d, raw, hexes, []
                 continue
             w0, w1 = int(count[d]), int(count[d + 1])
-            busy = len(own) > 0.3 * (w1 - w0) and w1 - w0 > 20
+            busy = np.count_nonzero(odd[w0:w1]) > 0.3 * (w1 - w0) and w1 - w0 > 20
             groups = np.split(own, np.flatnonzero(np.diff(own) > 4) + 1)
             found = []
             for g in groups:
