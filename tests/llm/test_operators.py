@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weftlog.llm import fingerprints, languages, leaks, near, packing, privacy, quality, secrets, tokenfiles, urls
-from weftlog.llm.tokens import encoder
+from weftlog.llm.tokens import vocabulary
 
 LONG = "lorem ipsum " * 30_000
 ODD = [
@@ -42,8 +43,12 @@ def empty(docs, spark):
     return spark.createDataFrame([], docs.schema)
 
 
+MODELS = {}
+
+
 def ids_of(text, name, end):
-    return encoder(name, True).model.encode(text or "", add_special_tokens=False).ids + [end]
+    model = MODELS.setdefault(name, Tokenizer.from_file(vocabulary(name)))
+    return model.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):

@@ -1,6 +1,9 @@
 """Cases that once got less than the whole job."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 from test_operators import brute_components, crc, shingles
 from tokenizers import Tokenizer
 
@@ -74,7 +77,7 @@ def test_added_tokens_keep_their_ids(spark):
         model = Tokenizer.from_file(tokens.vocabulary(name))
         ids = [model.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert (50256 if blank else 49407) in ids[0]
-        flat, ends = tokens.encoder(name, blank).encode(texts)
+        flat, ends = tokens.encoder(name, blank).encode(pa.array(texts, pa.string()))
         assert [x.tolist() for x in np.split(flat, ends[:-1])] == ids
         if blank:
             got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.round_trip(df).collect()}
@@ -95,3 +98,30 @@ def test_the_field_tags_secrets_without_digits(spark):
     at = said.index("CorrectHorseBattery")
     assert got[300]["spans"].split(",") == [f"crf:{at}:{at + 19}"]
     assert all(got[k]["n_assign"] == 1 for k in range(300))
+
+
+def test_cut_texts_have_the_ids_of_whole_texts(monkeypatch):
+    rng = random.Random(1)
+    letters = list("abcsStTrReElLvVm'''  \n\t12.,!?éÉàĀœ×÷İ<|>-")
+    texts = [
+        "It's we'll they've I'M ''s 's ,'s x's's 'stop 're'll", "  two  blanks ", "\n\n a\n b\t\tc \r\n", "12 345 a1b2", "naïve Œuvre Ÿ Ā Ɏ ɏ Ɓɓ", "İ i̇!", "a × b ÷ c",
+        "a <|endoftext|> b <|startoftext|>", "€€ 123", "日本 x", "'", "a 's b", "a\n's b", "x\x0by\x0cz", " 'll", "donʼt don'T", "ǅ ǈ ẞ ß", "x" * 2000, "", None,
+    ]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(letters) for _ in range(4000)) for _ in range(8)]
+    for name, blank in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        want = [x.ids for x in Tokenizer.from_file(tokens.vocabulary(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        for run, remembered in ((tokens.RUN, tokens.REMEMBERED), (700, 500)):
+            monkeypatch.setattr(tokens, "RUN", run)
+            monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+            flat, ends = tokens.Encoder(name, blank).encode(pa.array(texts))
+            assert [x.tolist() for x in np.split(flat, ends[:-1])] == want
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "_BYTE", np.ones(256, np.uint64))
+    texts = ["some words of equal size have one hash now", "and so do these", "a b c"]
+    for name, blank in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        model = Tokenizer.from_file(tokens.vocabulary(name))
+        flat, ends = tokens.Encoder(name, blank).encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == [model.encode(t, add_special_tokens=False).ids for t in texts]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import encoder, groups, trim
+from .tokens import encoder, trim
 
 #: The most queues of a mixture; their totals are the only thing that the driver holds.
 QUEUES = 4096
@@ -48,20 +48,20 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, blank: bool, queue:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, given = TaskContext.get().partitionId(), {}
         for batch in batches:
-            texts, ids, queues = batch.column(1).to_pylist(), batch.column(0), batch.column(2).to_pylist()
+            if not batch.num_rows:
+                continue
             code = encoder(vocabulary, blank)
-            small = np.uint16 if code.size <= 1 << 16 else np.uint32
-            for a, b in groups(texts):
-                flat, ends = code.encode(texts[a:b])
-                flat, starts = flat.astype(small), np.concatenate([[0], ends[:-1]])
-                tail = small(end_id).tobytes()
-                blobs = [flat[x:y].tobytes() + tail for x, y in zip(starts, ends)]
-                n, at = (ends - starts + 1).tolist(), []
-                for q, k in zip(queues[a:b], n):
-                    at.append(given.get(q, 0))
-                    given[q] = at[-1] + k
-                del flat
-                yield pa.RecordBatch.from_arrays([pa.array([part] * (b - a), pa.int32()), pa.array(queues[a:b], pa.string()), pa.array(at, pa.int64()), ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["part", "queue", "at", "doc_id", "n", "ids"])
+            flat, ends = code.encode(batch.column(1))
+            n = np.diff(ends, prepend=0) + 1
+            whole = np.insert(flat, ends, code.kind(end_id))
+            places = np.concatenate([[0], np.cumsum(n)]) * whole.itemsize
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(whole)]).cast(pa.binary())
+            at, queues = [], batch.column(2)
+            for q, k in zip(queues.to_pylist(), n.tolist()):
+                at.append(given.get(q, 0))
+                given[q] = at[-1] + k
+            del flat, whole
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), queues, pa.array(at, pa.int64()), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), blobs], ["part", "queue", "at", "doc_id", "n", "ids"])
         trim()
 
     names = F.lit(None).cast("string") if queue is None else F.col(queue).cast("string")
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
         for batch in batches:
             rows: list[tuple] = []
             for queue, at, doc_id, blob in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                ids = np.frombuffer(blob, np.uint16 if narrow else np.uint32).astype("<u4")
+                ids = np.frombuffer(blob, kind).astype("<u4")
                 n, data = len(ids), memoryview(ids).cast("B")
                 for start, many, sequence, offset in schedule.pieces(queue if queue in schedule.slot else REST, at, n):
                     cut = data[4 * start : 4 * (start + many)]
@@ -232,7 +232,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2
         kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names_out)
 
-    narrow = encoder(vocabulary, False).size <= 1 << 16
+    kind = encoder(vocabulary, False).kind
     names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"] + ["ids"] * with_ids
     kinds = ", ".join(f"{x} {'string' if x == 'queue' else 'binary' if x == 'ids' else 'long'}" for x in names_out)
     return placed.select("queue", (F.col("at") + F.col("before")).alias("at"), "doc_id", "ids").mapInArrow(run, kinds)

@@ -156,8 +156,8 @@ def _counts(tokens: DataFrame, size: int, kind: type) -> np.ndarray:
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
     """Writes the ids of all texts under ``path``: ``table`` (the frequencies) and ``files`` (the blocks)."""
     spark = docs.sparkSession
-    size = encoder(vocabulary, True).size
-    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    code = encoder(vocabulary, True)
+    size, kind = code.size, code.kind
     tokens = tokenised(docs, vocabulary, end_id, True)
     freq = normalised(_counts(tokens, size, kind))
     spark.createDataFrame([(freq.astype("<u4").tobytes(),)], "freq binary").write.parquet(f"{path}/table")
