@@ -7,8 +7,6 @@ it on a retry, so a batch that runs twice counts once.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import workload
 from ..operators.reducer import TERMINAL, Engine
+from ..shared import place
 
 
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,8 +50,7 @@ def run(spark: SparkSession, source: str, sink: str, checkpoint: str) -> DataFra
 
 def difference(spark: SparkSession, workflows: int = 20) -> DataFrame:
     """Events that the streamed or the batch fold of the bench workload has and the other has not."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="weftlog-")
-    root = f"{found}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = place(spark, "stream")
     commands = workload.bench_commands(spark, workflows)
     for low, high in ((0, 5), (6, 11), (12, 16)):
         commands.where(f"position between {low} and {high}").coalesce(1).write.mode("append").parquet(f"{root}/commands")
