@@ -25,10 +25,14 @@ def copies(spark, groups, rng):
 
 
 def test_salted_lists_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(near, "LONG_LIST", 1)
     rows, df = copies(spark, 40, np.random.default_rng(7))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df).collect()}
-    assert got == brute_components(rows)
+    want = brute_components(rows)
+    for long, counters, bits in ((1, 1 << 18, 1 << 20), (10, 1 << 18, 1 << 10), (1, 16, 1 << 20)):
+        monkeypatch.setattr(near, "LONG_LIST", long)
+        monkeypatch.setattr(near, "COUNTERS", counters)
+        monkeypatch.setattr(near, "FILTER_BITS", (bits, bits))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df).collect()}
+        assert got == want
 
 
 def test_every_link_is_counted(spark, monkeypatch):

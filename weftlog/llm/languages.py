@@ -1,7 +1,7 @@
 """Language identification: TF-IDF vectors of byte n-grams against several centroids per language.
 
-A text's vector counts its letter n-grams of two and three bytes (lower-cased in Latin-1's range, other
-characters as borders), hashed to ``DIMS`` places, damped, weighted by inverse document frequency and of
+A text's vector counts its letter n-grams of two and three bytes (lower-cased in Latin-1's range; ASCII that is
+no letter is a border), hashed to ``DIMS`` places, damped, weighted by inverse document frequency and of
 length one. Each language has up to ``clusters`` centroids from spherical k-means. The prediction is
 the language of the nearest centroid by cosine; ``score`` is that cosine. A text further from its centroid than
 nearly all training texts is marked ``rejected``; it still carries its nearest language.
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
 from .wordhash import slices
 
-DIMS = 1 << 12
+#: Places of a vector, and texts whose dense vectors are held at once.
+DIMS, ROWS = 1 << 12, 512
 #: Training documents per language that centroids are fitted on.
 SAMPLE = 400
 UND = "und"
@@ -36,7 +38,7 @@ _FOLD[65:91] = np.arange(97, 123)
 
 def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, matrix of n-gram counts) for runs of rows."""
-    for first, data, offsets in slices(column):
+    for first, data, offsets in slices(column, rows=ROWS):
         folded = _FOLD[data]
         # capital letters of Latin-1, in UTF-8: 0xC3 then 0x80..0x9E
         cap = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
@@ -130,8 +132,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for first, found in counts(batch.column(1)):
                 texts = batch.column(1).slice(first, len(found))
-                some = found.any(axis=1)
-                for k in np.flatnonzero(~some):  # no pair of letters: perhaps one letter, or letters of no n-gram
+                some = pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), False).to_numpy(zero_copy_only=False).copy()
+                for k in np.flatnonzero(~some):  # letters beyond ASCII are told by code point
                     some[k] = any(x.isalpha() for x in texts[k].as_py() or "")
                 if len(m.points):
                     near = weighted(found, m.idf) @ m.points.T

@@ -2,11 +2,12 @@
 
 Words are ASCII letters and digits and whatever lies beyond ASCII, lower-cased A-Z. A window is ``width``
 consecutive words of a benchmark item; a shorter item, but not an empty one, is one window. Window hashes
-of the items go to the executors in blocks of at most ``BLOCK`` bytes of text, however large the benchmark
-is; every document's every window is looked up, and a hit counts once its words are equal, not just its hash.
+of the items go to the executors in blocks of about ``BLOCK`` bytes of text, however large the benchmark
+is, and beyond ``HELD`` blocks a worker has one in memory at a time, once a batch; every document's every window is looked up, and a hit counts once its words are equal, not just its hash.
 
 Null and empty texts have no words, hits or items. A null item_id marks its words but names no item.
-Repeated items count once; repeated documents each get a row. An empty benchmark hits nothing.
+Repeated items count once; repeated documents each get a row, as do null doc_ids. An empty benchmark hits nothing.
+Extra columns of any name pass through ``clean`` and are left out elsewhere.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .wordhash import ALNUM, LOWER, slices, window_hashes, word_hashes, words
 
-#: Bytes of benchmark text in one broadcast block.
-BLOCK = 8 << 20
+#: Bytes of benchmark text in one broadcast block, and blocks that a worker keeps in memory from batch to batch.
+BLOCK, HELD = 8 << 20, 4
 #: Bits of the first look-up of a window's hash.
 BITS = 22
 
@@ -30,27 +31,45 @@ def _spell(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(data[a:b].tobytes() for a, b in zip(starts, ends))
 
 
-def index(rows: list[tuple[int | None, str | None]], width: int) -> list[tuple]:
-    """By window length: (length, bit table, sorted hashes, {spelling: item ids})."""
-    held: dict[int, tuple[list, dict]] = {}
-    for item, text in rows:
-        for _, data, offsets in slices(pa.array([text], pa.string()), 1 << 62):
+class Index:
+    """The windows of a block of items, in arrays: by length the sorted hashes, each with its first word and its item."""
+
+    def __init__(self, rows: list[tuple[int | None, str | None]], width: int):
+        self.items, texts, places, found = [r[0] for r in rows], [], [], {}
+        words_before = bytes_before = 0
+        for first, data, offsets in slices(pa.array([r[1] for r in rows], pa.string())):
             data = LOWER[data]
             starts, ends, count = words(data, offsets, ALNUM)
-            n = min(width, len(starts))
-            if not n:
-                continue
-            hashes, spelt = held.setdefault(n, ([], {}))
-            hashes.append(window_hashes(word_hashes(data, starts, ends), n))
-            for k in range(len(starts) - n + 1):
-                spelt.setdefault(_spell(data, starts[k : k + n], ends[k : k + n]), set()).add(item)
-    out = []
-    for n, (hashes, spelt) in sorted(held.items()):
-        keys = np.unique(np.concatenate(hashes))
-        table = np.zeros(1 << BITS, bool)
-        table[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        out.append((n, np.packbits(table), keys, spelt))
-    return out
+            hashes, n = word_hashes(data, starts, ends), np.diff(count)
+            owner = np.repeat(np.arange(len(n)), n)
+            for size in np.unique(np.minimum(n[n > 0], width)).tolist():
+                # every window of an item of enough words, or the one window of an item of just so many
+                at = np.flatnonzero(np.minimum(n, width)[owner] == size)
+                at = at[at + size <= count[owner[at] + 1]]
+                found.setdefault(size, []).append((window_hashes(hashes, size)[at], at + words_before, owner[at] + first))
+            texts.append(data), places.append(np.stack([starts, ends]) + bytes_before)
+            words_before, bytes_before = words_before + len(starts), bytes_before + len(data)
+        self.data = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        self.starts, self.ends = np.concatenate(places, axis=1).astype(np.int32) if places else np.zeros((2, 0), np.int32)
+        #: (length, bits of the hashes' first BITS bits, hashes, first words, items)
+        self.sizes = []
+        for size, some in sorted(found.items()):
+            keys, word, item = (np.concatenate(x) for x in zip(*some))
+            order = np.lexsort((item, keys))
+            keys, word, item = keys[order], word[order].astype(np.int32), item[order].astype(np.int32)
+            table = np.zeros(1 << BITS, bool)
+            table[(keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.sizes.append((size, np.packbits(table), keys, word, item))
+
+    def named(self, size: int, keys: np.ndarray, word: np.ndarray, item: np.ndarray, key: np.uint64, spelt: bytes) -> set | None:
+        """The items with this very window, or None if no window is spelt so."""
+        out = None
+        for k in range(int(np.searchsorted(keys, key, "left")), int(np.searchsorted(keys, key, "right"))):
+            w = int(word[k])
+            if _spell(self.data, self.starts[w : w + size], self.ends[w : w + size]) == spelt:
+                out = out or set()
+                out.add(self.items[item[k]])
+        return out
 
 
 def blocks(benchmark: DataFrame, width: int) -> list:
@@ -63,7 +82,7 @@ def blocks(benchmark: DataFrame, width: int) -> list:
     out = []
     for k in range(many):
         part = benchmark if many == 1 else benchmark.where(block == k)
-        out.append(spark.sparkContext.broadcast(index([tuple(r) for r in part.collect()], width)))
+        out.append(spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], width)))
     return out
 
 
@@ -125,26 +144,34 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def matches(column: pa.Array, held: list) -> Iterator[tuple]:
     """By runs of rows: (first row, words of each, hit words, their rows, items of each, hit spans of each in bytes)."""
+    runs = []
     for first, data, offsets in slices(column):
         data = LOWER[data]
         starts, ends, count = words(data, offsets, ALNUM)
-        hashes, many = word_hashes(data, starts, ends), len(offsets) - 1
-        owner, hit = np.repeat(np.arange(many), np.diff(count)), np.zeros(len(starts), bool)
-        items, spans = [set() for _ in range(many)], [[] for _ in range(many)]
-        for block in held:
-            for n, packed, keys, spelt in block.value:
-                found = window_hashes(hashes, n)
+        many = len(offsets) - 1
+        owner = np.repeat(np.arange(many), np.diff(count))
+        runs.append((first, data, offsets, starts, ends, count, word_hashes(data, starts, ends), owner, np.zeros(len(starts), bool), [set() for _ in range(many)]))
+    for block in held:
+        index = block.value
+        for _, data, _, starts, ends, _, hashes, owner, hit, items in runs:
+            for size, packed, keys, word, item in index.sizes:
+                found = window_hashes(hashes, size)
                 slot = (found >> np.uint64(64 - BITS)).astype(np.int64)
                 at = np.flatnonzero((packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
-                at = at[owner[at] == owner[at + n - 1]]
-                place = np.searchsorted(keys, found[at])
-                for k in at[keys[np.minimum(place, len(keys) - 1)] == found[at]].tolist():
-                    named = spelt.get(_spell(data, starts[k : k + n], ends[k : k + n]))
-                    if named:
-                        hit[k : k + n] = True
-                        items[owner[k]] |= named
-            if len(held) > 1:
-                del block._value  # one block in memory at a time
+                at = at[owner[at] == owner[at + size - 1]]
+                place = np.minimum(np.searchsorted(keys, found[at]), len(keys) - 1)
+                known: dict[tuple, set | None] = {}
+                for k in at[keys[place] == found[at]].tolist():
+                    asked = (found[k], _spell(data, starts[k : k + size], ends[k : k + size]))
+                    if asked not in known:
+                        known[asked] = index.named(size, keys, word, item, *asked)
+                    if known[asked] is not None:
+                        hit[k : k + size] = True
+                        items[owner[k]] |= known[asked]
+        if len(held) > HELD:
+            del index, block._value  # read again for the next batch
+    for first, data, offsets, starts, ends, count, _, owner, hit, items in runs:
+        spans = [[] for _ in items]
         for k in np.flatnonzero(hit).tolist():
             d = owner[k]
             a, b = int(starts[k] - offsets[d]), int(ends[k] - offsets[d])

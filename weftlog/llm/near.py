@@ -9,9 +9,9 @@ becomes all of its pairs:
    Documents with equal sets link with the smallest of them.
 2. A second pass posts each set's prefix: its ``n - ceil(percent * n / 100) + 1`` rarest shingles. Postings
    are sorted by shingle and stream by. A row that could link with no other of its list, by length and
-   place, is dropped; each other row is paired with one partner. Lists that the sketch knows to be very
-   long are salted by document; a salted part is looked at alone here and keeps all its rows, and step 4
-   joins the parts.
+   place, is dropped; each other row is paired with one partner. Lists that the sketch takes for very long
+   are salted by document; a salted part is looked at alone here and keeps all its rows, and step 4
+   joins the parts. A wrong guess costs time, never a link.
 3. Candidate pairs are distinct, get their two sets by joins, pass a suffix filter and are verified by an
    exact intersection. Verified links are closed into components.
 4. Lists that still hold two components or more are gone through again, pair by pair across components
@@ -35,19 +35,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import components, scratch
+from . import components, scratch, vectors
 from .wordhash import mix, shingle_sets
 
 #: Counters of the shingle sketch, and counters to a row of it; both fixed, whatever the input.
 COUNTERS, ROW = 1 << 18, 1 << 12
 #: Rows of a list that is looked at pair by pair, across components only.
 SHORT = 64
-#: A list of this many postings (by the sketch, which only overestimates) is salted into parts.
-LONG_LIST = 1 << 20
+#: A list of this many postings, by what the sketch has over twice its mean, is salted into parts of about so many.
+LONG_LIST = 1 << 17
 #: Documents and shingles of a block of a component, about; a shingle of more sets than OFTEN is counted by matrix products.
 BLOCK_SETS, BLOCK_GRAMS, OFTEN = 1 << 10, 1 << 20, 32
-#: Bits of the filter that lets candidate documents into the pass that makes sets; fixed, so its error grows, never the result's.
-FILTER_BITS, CHUNKS = 1 << 25, 64
+#: The least and the most bits of the filter that lets candidate documents into the pass that makes sets: 16 for each
+#: within these bounds. Beyond them more documents pass it; joins by doc_id decide, so the result stays the same.
+FILTER_BITS, CHUNKS = (1 << 20, 1 << 28), 64
 
 
 def _overlap(na, nb, percent: int):
@@ -56,12 +57,13 @@ def _overlap(na, nb, percent: int):
     return F.ceil(top / low) if isinstance(na, Column) else -(-top // low)
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def signatures(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, h1, h2) of every document and the sketch of shingle counts, from one pass over the texts."""
+    shift, wide = np.uint64(65 - COUNTERS.bit_length()), min(ROW, COUNTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
@@ -69,40 +71,33 @@ def signatures(docs: DataFrame, width: int = 5) -> tuple[DataFrame, np.ndarray]:
             n, h1, h2 = (np.zeros(batch.num_rows, t) for t in (np.int32, np.uint64, np.uint64))
             for row, got in shingle_sets(batch.column(1), width):
                 n[row], h1[row], h2[row] = len(got), got.sum(dtype=np.uint64), mix(got ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                counts += np.bincount((got >> np.uint64(46)).astype(np.int64), minlength=COUNTERS) if len(got) > COUNTERS else 0
+                counts += np.bincount((got >> shift).astype(np.int64), minlength=COUNTERS) if len(got) > COUNTERS else 0
                 if len(got) <= COUNTERS:
-                    np.add.at(counts, (got >> np.uint64(46)).astype(np.int64), 1)
+                    np.add.at(counts, (got >> shift).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if counts.any():
-            rows = COUNTERS // ROW
+            rows = COUNTERS // wide
             none = pa.nulls(rows)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(rows), pa.int32()), pa.array([counts[k * ROW : (k + 1) * ROW].tobytes() for k in range(rows)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(rows), pa.int32()), pa.array([counts[k * wide : (k + 1) * wide].tobytes() for k in range(rows)], pa.binary())], names)
 
     names = ["doc_id", "n", "h1", "h2", "chunk", "counts"]
     both = scratch.keep(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, h1 long, h2 long, chunk int, counts binary"), "signatures")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[k] = sums.get(k, 0) + np.frombuffer(blob.as_buffer(), np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
-
     sketch = np.zeros(COUNTERS, np.int64)
-    for k, blob in both.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        sketch[k * ROW : (k + 1) * ROW] += np.frombuffer(blob, np.int64)
+    for k, sums in vectors.merged(both.where("chunk is not null").select("chunk", F.col("counts").alias("blob")), np.int64).items():
+        sketch[k * wide : (k + 1) * wide] = sums
     return both.where("chunk is null").select("doc_id", "n", "h1", "h2"), sketch
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, percent: int, width: int = 5) -> DataFrame:
     """(gram, salt, doc_id, n, pos) of each set's prefix; a task posts equal sets once. The salt is -1 in lists of one part."""
-    spark = docs.sparkSession
+    spark, shift = docs.sparkSession, np.uint64(65 - COUNTERS.bit_length())
     order = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = order.value, set()
+        usual = 2 * count.mean()  # what a list shares its counter with, more or less
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             grams, owners, sizes, places, held = [], [], [], [], 0
@@ -116,20 +111,20 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int, width: int = 5)
                 if len(seen) < 1 << 16:
                     seen.add(digest)
                 keep = n - -(-percent * n // 100) + 1
-                rank = count[(got >> np.uint64(46)).astype(np.int64)]
+                rank = count[(got >> shift).astype(np.int64)]
                 # got is sorted by hash, so a stable order by count is the order by (count, hash)
                 first = np.argsort(rank, kind="stable")[:keep]
                 grams.append(got[first]), owners.append(np.full(keep, ids[row])), sizes.append(np.full(keep, n, np.int32)), places.append(np.arange(keep, dtype=np.int32))
                 held += keep
                 if held > 200_000:
-                    yield pack(grams, owners, sizes, places, count)
+                    yield pack(grams, owners, sizes, places, count - usual)
                     grams, owners, sizes, places, held = [], [], [], [], 0
             if grams:
-                yield pack(grams, owners, sizes, places, count)
+                yield pack(grams, owners, sizes, places, count - usual)
 
-    def pack(grams, owners, sizes, places, count) -> pa.RecordBatch:
+    def pack(grams, owners, sizes, places, over) -> pa.RecordBatch:
         g, d = np.concatenate(grams), np.concatenate(owners)
-        parts = count[(g >> np.uint64(46)).astype(np.int64)] // LONG_LIST + 1
+        parts = (np.maximum(over[(g >> shift).astype(np.int64)], 0) // LONG_LIST).astype(np.int64) + 1
         salt = np.where(parts > 1, (mix(d.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int32), np.int32(-1))
         return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(salt), pa.array(d), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], ["gram", "salt", "doc_id", "n", "pos"])
 
@@ -262,34 +257,27 @@ def crossings(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 
 
 def _bits(ids: DataFrame) -> np.ndarray:
-    """A packed table of bits with the slots of all values of ``ids`` (one or more columns) set."""
+    """A packed table of bits with the slots of all values of ``ids`` (one or more columns) set, sized by their number."""
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * len(ids.columns) * ids.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
             for column in batch.columns:
-                bits[_slot(column.to_numpy(zero_copy_only=False))] = True
+                bits[_slot(column.to_numpy(zero_copy_only=False), size)] = True
         if bits.any():
             parts = np.packbits(bits).reshape(CHUNKS, -1)
             some = np.flatnonzero(parts.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["chunk", "blob"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts[k] = parts.get(k, np.uint8(0)) | np.frombuffer(blob.as_buffer(), np.uint8)
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["chunk", "bits"])
-
-    packed = np.zeros((CHUNKS, FILTER_BITS // CHUNKS // 8), np.uint8)
-    for k, blob in ids.mapInArrow(mark, "chunk int, bits binary").repartition("chunk").mapInArrow(join, "chunk int, bits binary").collect():
-        packed[k] |= np.frombuffer(blob, np.uint8)
+    packed = np.zeros((CHUNKS, size // CHUNKS // 8), np.uint8)
+    for k, some in vectors.merged(ids.mapInArrow(mark, "chunk int, blob binary"), np.uint8, np.bitwise_or).items():
+        packed[k] = some
     return packed.reshape(-1)
 
 
 def _among(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    slot = _slot(ids)
+    slot = _slot(ids, 8 * len(packed))
     return np.flatnonzero((packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
 
 

@@ -8,22 +8,31 @@ kind  | valid when                                   | permuted
 card  | 13 to 19 digits that pass the Luhn check     | all digits but the last, which is recomputed
 ip    | four numbers up to 255                       | the 32 bits
 date  | a day from 1900 on, of three written formats | the day's number, over 73216 days
-ssn   | three, two and four digits, none all zero    | the digits
-iban  | passes the check modulo 97                   | what follows the check digits, which are recomputed
+ssn   | three, two and four digits, none all zero    | the digits, within the valid numbers
+iban  | check digits 02 to 98, right modulo 97       | what follows the check digits, which are recomputed
 phone | ten digits with separators, or more with a + | the last ten digits
 mail  | a local part, an at sign and a domain        | the local part
 
 The network has an even number of rounds over two halves of the value; a round shifts each character of one half
 within its class by SHA-256 of the key and the other half. Null texts stay null, empty texts empty; a match
-that fails its check stays as it is. Extra columns pass through.
+that fails its check stays as it is. Null doc_ids and repeated rows are rows like others. Extra columns pass
+through whatever their names, but one named like a column of counts (n_<kind>) gives way to it.
+
+The key is an argument. ``session_key`` gives the one in the Spark setting ``weftlog.privacy.key`` or, where that is
+unset, a random one for the session: pseudonyms then link documents within the session only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import secrets
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROUNDS = 6
+#: Rounds of the network, and the steps after which a walk has met a valid number: one in 90 is not, so 40 never fail.
+ROUNDS, WALK, KEY = 6, 40, "weftlog.privacy.key"
 KINDS = ["mail", "ip", "date", "ssn", "iban", "phone", "card"]
 #: Patterns of the kinds, tried in this order at each place.
 PATTERNS = {
@@ -153,13 +162,16 @@ def _with(body, form: str):
 
 
 def _ssn(m: Column, key: str) -> Column:
-    return F.when(~m.rlike("^000|-00-|-0000$"), _refilled(m, permuted(_digits(m), key, "ssn")))
+    good = lambda d: ~d.rlike("^000|^...00|0000$")
+    # from a valid number the network is walked on until it meets the next valid one: a permutation of the valid ones
+    walk = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permuted(d, key, "ssn"), lambda s, _: F.when(good(s), s).otherwise(permuted(s, key, "ssn")))
+    return _bound(_digits(m), lambda d: F.when(good(d), _refilled(m, walk(d))))
 
 
 def _iban(m: Column, key: str) -> Column:
     land, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
     whole = lambda body: F.concat(land, F.lpad((98 - _mod97(F.concat(body, land, F.lit("00")))).cast("string"), 2, "0"), body)
-    return F.when(_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, _bound(permuted(rest, key, "iban"), whole))
+    return F.when((_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1) & F.substring(m, 3, 2).between("02", "98"), _bound(permuted(rest, key, "iban"), whole))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -169,7 +181,15 @@ def _phone(m: Column, key: str) -> Column:
 
 def _mail(m: Column, key: str) -> Column:
     at = F.instr(m, "@")
-    return F.concat(permuted(F.substring(m, F.lit(1), at - 1), key, "mail"), F.substring(m, at, F.length(m)))
+    new = lambda name: F.when(F.length(name) == 1, F.translate(name, *_alphabets(key))).otherwise(permuted(name, key, "mail"))
+    return F.concat(_bound(F.substring(m, F.lit(1), at - 1), new), F.substring(m, at, F.length(m)))
+
+
+def _alphabets(key: str) -> tuple[str, str]:
+    """Digits and letters, and the same with each class in a keyed order: for names of one character, which have no two halves."""
+    classes = [string.digits, string.ascii_lowercase, string.ascii_uppercase]
+    order = lambda c: hashlib.sha256(f"{key}|mail|{c}".encode()).digest()
+    return "".join(classes), "".join(x for a in classes for x in sorted(a, key=order))
 
 
 _MAKERS = {"mail": _mail, "ip": _ip, "date": _date, "ssn": _ssn, "iban": _iban, "phone": _phone, "card": _card}
@@ -185,15 +205,25 @@ def _replaced(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = "weftlog", text: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key of this session: the setting's, or a random one that is drawn once."""
+    found = spark.conf.get(KEY, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY, found)
+    return found
+
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced, and n_<kind> columns with the number of values replaced."""
-    found = F.regexp_extract_all(F.col(text), F.lit(_ALL), F.lit(0))
-    seen = F.col(text).rlike("[0-9@]")
-    out = docs.withColumn("_found", F.when(seen, found))
-    out = out.withColumn("_new", F.transform("_found", lambda m: _replaced(m, key)))
-    parts = F.split(F.col(text), _ALL, -1)
-    joined = F.array_join(F.zip_with(parts, F.col("_new.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    counts = [F.size(F.array_remove(F.transform("_new", lambda m: F.nullif(m["kind"], F.lit(kind)).isNull() & m["kind"].isNotNull()), False)).cast("long") for kind in KINDS]
-    some = F.col("_found").isNotNull() & (F.size("_found") > 0)
-    keep = [F.when(some, joined).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return out.select(*keep, *[F.when(some, c).otherwise(0).alias(f"n_{k}") for c, k in zip(counts, KINDS)])
+    found = F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all(F.col("t"), F.lit(_ALL), F.lit(0)))
+    # the row travels in one struct, so that no column of it can meet one of the steps here
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t")).withColumn("found", found)
+    out = out.withColumn("new", F.transform("found", lambda m: _replaced(m, key)))
+    parts = F.split(F.col("t"), _ALL, -1)
+    joined = F.array_join(F.zip_with(parts, F.col("new.new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    counts = [F.size(F.filter("new", lambda m: m["kind"] == kind)).cast("long") for kind in KINDS]
+    some = F.col("found").isNotNull() & (F.size("found") > 0)
+    kept = [c for c in docs.columns if c not in {f"n_{k}" for k in KINDS}]
+    shown = [F.when(some, joined).otherwise(F.col("t")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept]
+    return out.select(*shown, *[F.when(some, c).otherwise(0).alias(f"n_{k}") for c, k in zip(counts, KINDS)])

@@ -9,8 +9,9 @@ adds next to nothing and a large bad one a little.
 
 The classifiers are fitted on at most ``sample`` labelled documents, chosen by hash (``CLEAN`` for the clean uses
 of insult words); rates, strengths and decisions cover all documents. Null and empty texts have the evidence of an empty form and are
-rejected when that is bad. Null hosts and paths are sites of their own. Documents without labels are judged all the
-same; without any labels nothing is rejected.
+rejected when that is bad. Null hosts and paths are sites of their own, null doc_ids documents without labels.
+Repeated rows are judged each. Documents without labels are judged all the same; without any labels nothing is
+rejected. Extra columns of any name pass through ``kept`` untouched and are left out of ``judged``.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import scratch, vectors
 from .wordhash import ALNUM, LOWER, slices, window_hashes, word_hashes, words
@@ -32,8 +34,10 @@ SUPPORT, SHARE, RATE = 5, 0.01, 0.4
 FORMS = 9
 #: Paths whose rates are broadcast; beyond it they are joined.
 SITES = 100_000
-#: A document is rejected above this posterior probability of being bad.
-REJECT = 0.5
+#: A document is rejected above this posterior probability of being bad; and if what a toxic one costs, kept, as a
+#: multiple of what a clean one costs, lost, times the posterior probability of toxic is more than that of clean.
+REJECT, COST = 0.5, 7.4
+VERDICT = ["quality_score", "p_junk", "p_toxic", "host_rate", "path_rate", "rejected"]
 
 _SIGNS = np.zeros(256, bool)
 _SIGNS[list(b"!#$%&*+<=>@[]^_`{|}~\\")] = True
@@ -103,15 +107,15 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits both classifiers on labelled documents; None without labels. Equal rows are one example."""
-    labels = labels.select("doc_id", "quality", "toxic").where("doc_id is not null and (quality is not null or toxic is not null)").dropDuplicates(["doc_id"])
+    """Fits both classifiers on labelled documents; None without labels. Of labels that disagree about a document the worse counts."""
+    labels = labels.select("doc_id", "quality", "toxic").where("doc_id is not null and (quality is not null or toxic is not null)")
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     many = labels.count()
 
     def labelled(most: int) -> DataFrame:
         some = vectors.sampled(labels, F.col("doc_id"), most, many)
         return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "quality", "toxic", "text")
 
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, x, hashes, count in forms(batch.column(3)):
@@ -157,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         for word, n in often.items():
             p = _rate(n, other[word] * part, rate)
             if p >= RATE:
-                insults[word] = float(np.log(p / (1 - p)) - np.log(rate / (1 - rate))) + 2.0
+                insults[word] = float(np.log(p / (1 - p)) - np.log(rate / (1 - rate)))
     bad = min(0.9, max(1e-3, float(np.mean([(r["quality"] == 0) or bool(r["toxic"]) for r in rows]))))
     return Model(weights, insults, bad, rate)
 
@@ -176,48 +180,65 @@ def _spread(groups: DataFrame, mean) -> float:
 
 
 def measured(docs: DataFrame, model: Model, host: str, path: str, carry: list[str]) -> DataFrame:
-    """``carry`` columns with junk and toxic (log odds) and bad (their joint probability)."""
-    held, place = docs.sparkSession.sparkContext.broadcast(model), len(carry)
+    """(row, host, path, junk, toxic, bad): the ``carry`` columns in one struct, the log odds of both kinds and their joint probability."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, junk, toxic in held.value.evidence(batch.column(place)):
+            for first, junk, toxic in held.value.evidence(batch.column(1)):
                 bad = 1 - 1 / (1 + np.exp(np.clip(junk, -30, 30))) / (1 + np.exp(np.clip(toxic, -30, 30)))
                 part = batch.slice(first, len(junk))
-                yield pa.RecordBatch.from_arrays([*part.columns[:place], *part.columns[place + 1 :], pa.array(junk), pa.array(toxic), pa.array(bad)], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(junk), pa.array(toxic), pa.array(bad)], names)
 
-    picked = docs.select(*carry, F.col("text").alias("_text"), F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"))
-    names = [*carry, "_host", "_path", "_junk", "_toxic", "_bad"]
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
-    return picked.mapInArrow(run, ", ".join([*kinds, "_host string, _path string, _junk double, _toxic double, _bad double"]))
+    names = ["row", "host", "path", "junk", "toxic", "bad"]
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("boolean")
+    picked = docs.select(row.alias("row"), F.col("text").alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
+    return picked.mapInArrow(run, StructType([picked.schema["row"], *StructType.fromDDL("host string, path string, junk double, toxic double, bad double")]))
 
 
-def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", carry: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """``carry`` columns (doc_id by default) and quality_score (1 - posterior), p_junk, p_toxic, host_rate, path_rate, rejected."""
-    carry = carry or ["doc_id"]
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, carry: list[str], sample: int) -> DataFrame:
+    """(row, verdict): the ``carry`` columns and the verdict's columns, each in one struct, so that no names can clash."""
     model = fit(docs, labels, sample)
     if model is None:
-        one = F.lit(0.0)
-        return docs.select(*carry, F.lit(1.0).alias("quality_score"), one.alias("p_junk"), one.alias("p_toxic"), one.alias("host_rate"), one.alias("path_rate"), F.lit(False).alias("rejected"))
-    sums = measured(docs, model, host, path, []).groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum("_bad").alias("s"))
-    sums = scratch.keep(sums, "sites")
-    hosts = sums.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    row = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = min(0.99, max(1e-4, (row["s"] or 0) / max(row["n"] or 0, 1)))
-    k = _spread(hosts, F.lit(mean))
-    rated = hosts.select(F.col("_host").alias("h"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_rate"))
-    sites = sums.join(rated, F.col("_host").eqNullSafe(F.col("h")))
-    k = _spread(sites, F.col("host_rate"))
-    sites = sites.select("h", F.col("_path").alias("p"), "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
+        named = lambda *x: F.struct(*[F.lit(v).alias(k) for k, v in zip(VERDICT, x)])
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), named(1.0, 0.0, 0.0, 0.0, 0.0, False).alias("verdict"))
+    sums = measured(docs, model, host, path, []).groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("bad").alias("s"))
+    sites, mean = rates(scratch.keep(sums, "sites"))
     # a row a site and path: sent to all tasks while few, so that documents stay where they are
     sites = scratch.keep(sites, "rates", 0)
     if sites.count() <= SITES:
         sites = F.broadcast(sites)
-    out = measured(docs, model, host, path, carry).join(sites, F.col("_host").eqNullSafe(F.col("h")) & F.col("_path").eqNullSafe(F.col("p")))
+    out = measured(docs, model, host, path, carry).join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
     odds = lambda x: F.log(F.greatest(x, F.lit(1e-6)) / F.greatest(1 - x, F.lit(1e-6)))
     # the site speaks for junk; an insult is in the document or not, whoever the site is
-    junk = 1 / (1 + F.exp(-(F.col("_junk") + odds(F.col("path_rate")) - odds(F.lit(mean)))))
-    toxic = 1 / (1 + F.exp(-F.col("_toxic")))
-    out = out.withColumn("_pj", junk).withColumn("_pt", toxic)
-    score = (1 - F.col("_pj")) * (1 - F.col("_pt"))
-    return out.select(*carry, score.alias("quality_score"), F.col("_pj").alias("p_junk"), F.col("_pt").alias("p_toxic"), "host_rate", "path_rate", (score < 1 - REJECT).alias("rejected"))
+    junk = 1 / (1 + F.exp(-(F.col("junk") + odds(F.col("path_rate")) - odds(F.lit(mean)))))
+    out = out.withColumn("pj", junk).withColumn("pt", 1 / (1 + F.exp(-F.col("toxic"))))
+    score = (1 - F.col("pj")) * (1 - F.col("pt"))
+    least = max(1 / (1 + COST), min(RATE, 1.01 * model.toxic))  # a text without any insult word has the share of toxic texts
+    rejected = (score < 1 - REJECT) | (F.col("pt") > least)
+    return out.select("row", F.struct(*[x.alias(k) for k, x in zip(VERDICT, (score, F.col("pj"), F.col("pt"), F.col("host_rate"), F.col("path_rate"), rejected))]).alias("verdict"))
+
+
+def rates(sums: DataFrame) -> tuple[DataFrame, float]:
+    """(h, p, host_rate, path_rate) of sites (host, path, n documents, s of them bad by expectation), and the rate of all.
+
+    A host's rate is (s + k * mean) / (n + k), a path's the same about its host's rate; each k is the spread's.
+    """
+    hosts = sums.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    row = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    mean = min(0.99, max(1e-4, (row["s"] or 0) / max(row["n"] or 0, 1)))
+    k = _spread(hosts, F.lit(mean))
+    rated = hosts.select(F.col("host").alias("h"), ((F.col("s") + k * mean) / (F.col("n") + k)).alias("host_rate"))
+    sites = sums.join(rated, F.col("host").eqNullSafe(F.col("h")))
+    k = _spread(sites, F.col("host_rate"))
+    return sites.select("h", F.col("path").alias("p"), "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), mean
+
+
+def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """doc_id, quality_score (1 - posterior), p_junk, p_toxic, host_rate, path_rate, rejected of every row of ``docs``."""
+    return _scored(docs, labels, host, path, ["doc_id"], sample).select("row.doc_id", "verdict.*")
+
+
+def kept(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns as they are."""
+    return _scored(docs, labels, host, path, docs.columns, sample).where("not verdict.rejected").select("row.*")

@@ -29,7 +29,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = privacy.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = privacy.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), privacy.session_key(spark))
     return made.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
 

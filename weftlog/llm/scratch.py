@@ -1,37 +1,20 @@
 """Intermediate tables in the folder that every executor shares.
 
 A written table cuts lineage: it survives the loss of the executors that made it, and later jobs read
-it instead of repeating the work. Only ``spark.checkpoint.dir`` is used; where it is unset (tests), a
-folder is chosen once and set on the session.
+it instead of repeating the work.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
+from ..shared import folder, place
+
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Narrow rows in a file of a table whose size is known.
 ROWS = 250_000
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared scratch folder of this session."""
-    found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftlog-")
-        spark.conf.set(KEY, found)
-    return found.rstrip("/")
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new path under the scratch folder."""
-    return f"{folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the scratch folder and returns a frame that reads it; about ``rows`` rows, if given, set the number of files."""
     spark, path = df.sparkSession, place(df.sparkSession, name)

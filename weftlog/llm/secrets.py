@@ -1,13 +1,17 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds spans to theirs.
 
 Words of a text are tagged secret-begin, inside or outside. Features are a word's shape (classes,
-length, changes between letters and digits), the words before it, and the file's share of words with
-signs. A field over these is trained on the words that the patterns mark in at most ``sample`` documents,
-chosen by hash, and decoded by Viterbi. Words with a digit or "=", of 24 and more bytes, with a name such as
+length, changes between letters and digits), the two words before it and the one after, and the file's share of
+words with signs. A field over these is trained on the words that the patterns mark in at most ``sample`` documents,
+chosen by hash: on at most ``stretches`` distinct stretches, those with a secret first and then by hash, each
+counted as often as it occurs, and on the first ``LONGEST`` words of a stretch. Each is also shown without the
+features of neighbours and without those of shape, so that either can tell a secret that no pattern has. It is
+decoded by Viterbi, over whole stretches. Words with a digit or "=", of 24 and more bytes, with a name such as
 "credential", or with ":" at the end, and the two words on either side of each, are trained on and decoded. The
 rest is outside: no feature of those words speaks of a secret.
 
-Null and empty texts have no spans. Every text is read whole. Spans of one kind never overlap; a span of
+Null and empty texts have no spans; null doc_ids and repeated rows are rows like others. Extra columns pass through
+``redacted`` and are left out elsewhere. Without any pattern's secret to learn from the field adds nothing. Every text is read whole. Spans of one kind never overlap; a span of
 the field is dropped where it meets one of the patterns. Positions count code points, the end excluded.
 """
 
@@ -30,9 +34,14 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _NAMES = re.compile(rb"passw|secret|token|api_?key|credential|auth|private", re.IGNORECASE)
-#: Documents that the field is trained on, and the words of one training sequence.
-SAMPLE, LONGEST = 20_000, 40
-FEATURES = 20
+#: Documents that the field is trained on, distinct stretches of them, and the words of one training sequence.
+SAMPLE, STRETCHES, LONGEST = 20_000, 3_000, 24
+FEATURES = 22
+#: Features of the words around a word.
+_AROUND = [13, 14, 15, 20, 21]
+_VIEWS = np.ones((3, FEATURES))
+_VIEWS[1, _AROUND] = 0
+_VIEWS[2, [k for k in range(1, FEATURES) if k not in _AROUND]] = 0
 #: What _NAMES finds, in lower case; none begins as it ends, so that places found one after another are all.
 _NAMED = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"credential", b"auth", b"private")
 _EDGE = b"\"'`.,;:()[]{}<>!*#$%&|"
@@ -67,7 +76,7 @@ def _code_points(raw: bytes, places: set[int]) -> dict[int, int]:
     return out
 
 
-def _shape(word: bytes, before: bytes, before2: bytes, busy: bool) -> np.ndarray:
+def _shape(word: bytes, before: bytes, before2: bytes, after: bytes, busy: bool) -> np.ndarray:
     digits = sum(48 <= c < 58 for c in word)
     upper, lower = any(65 <= c < 91 for c in word), any(97 <= c < 123 for c in word)
     core = word.strip(_EDGE)
@@ -75,7 +84,7 @@ def _shape(word: bytes, before: bytes, before2: bytes, busy: bool) -> np.ndarray
     n = len(core)
     plain = core.isalnum()
     return np.array(
-        [1, digits > 0, upper, lower, not plain, n > 0 and not core.strip(b"0123456789abcdef"), n >= 12, n >= 20, n >= 32, digits * 5 > n, changes >= 4, changes >= 8, bool(_NAMES.search(word)), bool(_NAMES.search(before)), before[-1:] in (b"=", b":"), bool(_NAMES.search(before2)), b"=" in word or b":" in word, n > 0 and digits * 10 >= 8 * n, b"@" in word, busy],
+        [1, digits > 0, upper, lower, not plain, n > 0 and not core.strip(b"0123456789abcdef"), n >= 12, n >= 20, n >= 32, digits * 5 > n, changes >= 4, changes >= 8, bool(_NAMES.search(word)), bool(_NAMES.search(before)), before[-1:] in (b"=", b":"), bool(_NAMES.search(before2)), b"=" in word or b":" in word, n > 0 and digits * 10 >= 8 * n, b"@" in word, busy, bool(_NAMES.search(after)), after[:1] in (b"=", b":")],
         np.float64,
     )
 
@@ -130,9 +139,9 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, bytes, list, list]]:
             found = []
             for g in groups:
                 low, high = max(w0, int(g[0]) - 2), min(w1, int(g[-1]) + 3)
-                word = [data[starts[k] : ends[k]].tobytes() for k in range(max(w0, low - 2), high)]
+                word = [data[starts[k] : ends[k]].tobytes() for k in range(max(w0, low - 2), min(w1, high + 1))]
                 lead = low - max(w0, low - 2)
-                shapes = [_shape(word[k], word[k - 1] if k else b"", word[k - 2] if k > 1 else b"", busy) for k in range(lead, len(word))]
+                shapes = [_shape(word[k], word[k - 1] if k else b"", word[k - 2] if k > 1 else b"", word[k + 1] if k + 1 < len(word) else b"", busy) for k in range(lead, lead + high - low)]
                 found.append([(int(starts[low + k] - a), int(ends[low + k] - a), s) for k, s in enumerate(shapes)])
             yield first + d, raw, hexes, found
 
@@ -158,21 +167,23 @@ class Field:
         return tags[::-1]
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray]], turns: int = 150, ridge: float = 1e-3) -> Field | None:
-    """Maximum likelihood by gradient steps over all sequences at once; None without any secret."""
+def train(samples: list[tuple[np.ndarray, np.ndarray]], weights: list[float] | None = None, turns: int = 120, ridge: float = 1e-5) -> Field | None:
+    """Maximum likelihood by gradient steps over all sequences at once, each counted by its weight; None without any secret."""
     samples = [(x[:LONGEST], y[:LONGEST]) for x, y in samples]
     if not any((y > 0).any() for _, y in samples):
         return None
+    samples, weights = [(x * v, y) for v in _VIEWS for x, y in samples], list(weights or [1.0] * len(samples)) * len(_VIEWS)
     n, t = len(samples), max(len(y) for _, y in samples)
+    share = np.array(weights, float) / sum(weights)
     x, y, real = np.zeros((n, t, FEATURES)), np.zeros((n, t), np.int64), np.zeros((n, t), bool)
     for k, (a, b) in enumerate(samples):
         x[k, : len(b)], y[k, : len(b)], real[k, : len(b)] = a, b, True
     barred = np.zeros((3, 3))
     barred[0, 2] = -1e9
     emit, move = np.zeros((FEATURES, 3)), np.zeros((3, 3))
-    hot = np.eye(3)[y] * real[..., None]
+    hot = np.eye(3)[y] * (real * share[:, None])[..., None]
     want_e = np.einsum("ntf,ntk->fk", x, hot)
-    want_m = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
+    want_m = np.einsum("nti,ntj->ij", hot[:, :-1], np.eye(3)[y][:, 1:] * real[:, 1:, None])
     moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
     log = lambda v, axis: v.max(axis=axis) + np.log(np.exp(v - v.max(axis=axis, keepdims=True)).sum(axis=axis))
     for turn in range(1, turns + 1):
@@ -187,17 +198,17 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], turns: int = 150, ridge:
         for k in range(t - 2, -1, -1):
             step = m + (score[:, k + 1] + b[:, k + 1])[:, None, :]
             b[:, k] = np.where(real[:, k + 1, None], log(step, 2), b[:, k + 1])
-            pair += np.exp(np.minimum(a[:, k][:, :, None] + step - z[:, None, None], 0))[real[:, k + 1]].sum(axis=0)
-        prob = np.exp(np.minimum(a + b - z[:, None, None], 0)) * real[..., None]
-        grads = [(np.einsum("ntf,ntk->fk", x, prob) - want_e) / n + ridge * emit, (pair - want_m) / n + ridge * move]
+            pair += np.einsum("nij,n->ij", np.exp(np.minimum(a[:, k][:, :, None] + step - z[:, None, None], 0)), share * real[:, k + 1])
+        prob = np.exp(np.minimum(a + b - z[:, None, None], 0)) * (real * share[:, None])[..., None]
+        grads = [np.einsum("ntf,ntk->fk", x, prob) - want_e + ridge * emit, pair - want_m + ridge * move]
         for w, g, p, q in ((emit, grads[0], *moments[:2]), (move, grads[1], *moments[2:])):
             p += 0.1 * (g - p)
-            q += 0.001 * (g * g - q)
-            w -= 0.1 * (p / (1 - 0.9**turn)) / (np.sqrt(q / (1 - 0.999**turn)) + 1e-8)
+            q += 0.03 * (g * g - q)
+            w -= 0.1 * (1 - turn / (turns + 1)) * (p / (1 - 0.9**turn)) / (np.sqrt(q / (1 - 0.97**turn)) + 1e-8)
     return Field(emit, move + barred)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
+def fit(docs: DataFrame, sample: int = SAMPLE, stretches: int = STRETCHES) -> Field | None:
     """Trains the field on what the patterns mark in a bounded sample of documents."""
     docs = docs.select("doc_id", "text").where("text is not null")
     some = vectors.sampled(docs, F.col("doc_id"), sample, docs.count())
@@ -209,9 +220,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
                 if not found:
                     continue
                 spans = base_spans(raw, hexes)
-                # stretches without any secret are many and alike: those of one in four texts are enough
-                if not spans and len(raw) % 4:
-                    continue
                 for stretch in found:
                     y, last = [], None
                     for a, b, _ in stretch[:LONGEST]:
@@ -223,8 +231,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
             if xs:
                 yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
 
-    rows = some.mapInArrow(run, "x binary, y binary").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("x", "y")).limit(6000).collect()
-    return train([(np.unpackbits(np.frombuffer(r["x"], np.uint8))[: len(r["y"]) * FEATURES].reshape(-1, FEATURES).astype(float), np.frombuffer(r["y"], np.uint8).astype(np.int64)) for r in rows]) if rows else None
+    secret = F.regexp_replace(F.hex("y"), "0", "") != ""
+    rows = some.mapInArrow(run, "x binary, y binary").groupBy("x", "y").agg(F.count("*").alias("n")).orderBy(secret.desc(), F.xxhash64("x", "y")).limit(stretches).collect()
+    return train([(np.unpackbits(np.frombuffer(r["x"], np.uint8))[: len(r["y"]) * FEATURES].reshape(-1, FEATURES).astype(float), np.frombuffer(r["y"], np.uint8).astype(np.int64)) for r in rows], [r["n"] for r in rows]) if rows else None
 
 
 def _all_spans(raw: bytes, hexes: list | None, found: list, field: Field | None) -> list[tuple[int, int, int]]:

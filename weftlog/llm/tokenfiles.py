@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, vectors
 from .packing import tokenised
 from .tokens import encoder
 
@@ -125,7 +125,7 @@ def decode_block(table: Table, frame: bytes, stretch: int | None = None) -> tupl
 
 
 def _counts(tokens: DataFrame, size: int, kind: type) -> np.ndarray:
-    """How often each id occurs in the whole table: one vector of fixed size a task, summed in parts."""
+    """How often each id occurs in the whole table: one vector of fixed size a task, summed in shares."""
     row = 1 << 11
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +137,11 @@ def _counts(tokens: DataFrame, size: int, kind: type) -> np.ndarray:
             if small:
                 sums += np.bincount(np.concatenate(small), minlength=len(sums))
         if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums) // row), pa.int32()), pa.array([x.tobytes() for x in sums.reshape(-1, row)], pa.binary())], ["chunk", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[k] = sums.get(k, 0) + np.frombuffer(blob.as_buffer(), np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums) // row), pa.int32()), pa.array([x.tobytes() for x in sums.reshape(-1, row)], pa.binary())], ["chunk", "blob"])
 
     out = np.zeros(-(-size // row) * row, np.int64)
-    for k, blob in tokens.select("ids").mapInArrow(run, "chunk int, sums binary").repartition("chunk").mapInArrow(add, "chunk int, sums binary").collect():
-        out[k * row : (k + 1) * row] += np.frombuffer(blob, np.int64)
+    for k, sums in vectors.merged(tokens.select("ids").mapInArrow(run, "chunk int, blob binary"), np.int64).items():
+        out[k * row : (k + 1) * row] = sums
     return out[:size]
 
 

@@ -45,8 +45,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows with at most ``limit`` bytes, or one longer row; null is empty."""
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE, rows: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of at most ``rows`` rows with at most ``limit`` bytes, or one longer row; null is empty."""
     if (tokens := sys.modules.get(f"{__package__}.tokens")) is not None:
         tokens.release()
     if isinstance(column, pa.ChunkedArray):
@@ -61,7 +61,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[t
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        to = min(to, n)
+        to = min(to, n, at + (rows or n))
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
