@@ -50,6 +50,11 @@ def connected(links: DataFrame) -> DataFrame:
     path of length n takes about log n turns. Each turn is a written table, so a lost executor costs
     one turn. No links give an empty table.
     """
+    with scratch.temporary(links.sparkSession) as own:
+        return own.spare(_spread(links)).select("node", "component")
+
+
+def _spread(links: DataFrame) -> DataFrame:
     rows = links.count()
     stars = links.select("a", "b").coalesce(-(-rows // LINKS) or 1).mapInArrow(_closed, "a long, b long")
     stars = scratch.keep(stars, "stars")
@@ -62,12 +67,17 @@ def connected(links: DataFrame) -> DataFrame:
         hop = near.select(F.col("node").alias("next"), F.col("next").alias("jump"))
         after = scratch.keep(near.join(hop, "next").select("node", F.least("next", "jump").alias("component"), "was"), "labels", rows)
         if after.where("component <> was").isEmpty():
-            return after.select("node", "component")
+            return after
         label = after.select("node", "component")
 
 
 def extended(label: DataFrame, links: DataFrame) -> DataFrame:
     """``label`` (node, component) after further ``links`` (a, b): only the components that they join are gone through again."""
+    with scratch.temporary(links.sparkSession) as own:
+        return own.spare(_joined(label, links))
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti")
     every = scratch.keep(label.unionByName(ends.select("node", F.col("node").alias("component"))), "labels", label.count())
     one, two = every.toDF("a", "ca"), every.toDF("b", "cb")

@@ -465,6 +465,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, count: b
     """
     docs = docs.select("doc_id", "text")
     signed, sketch = signatures(docs, width)
+    with scratch.temporary(docs.sparkSession) as own:
+        label = own.spare(scratch.keep(_grouped(docs, signed, sketch, percent, width, count), "groups", signed.count()))
+    out = signed.join(label, F.col("doc_id") == F.col("node"), "left")
+    shown = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *shown)
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs that link; the sets that show it are deleted."""
+    with scratch.temporary(docs.sparkSession) as own:
+        return own.spare(verified(sets_of(docs, pairs, width), pairs, percent))
+
+
+def _grouped(docs: DataFrame, signed: DataFrame, sketch: np.ndarray, percent: int, width: int, count: bool) -> DataFrame:
+    """(node, component[, n_links]) of the documents that link with any."""
     classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     # equal sets: each document links with the smallest of its class
     same = signed.join(classes, ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -473,13 +488,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, count: b
     lists = scratch.keep(stars(postings(docs, sketch, percent, width), percent), "lists")
     star = lists.where("pivot is not null").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
     pairs = scratch.keep(star.join(same, ["a", "b"], "left_anti"), "pairs", lists.count())
-    links = same.unionByName(verified(sets_of(docs, pairs, width), pairs, percent))
+    links = same.unionByName(_checked(docs, pairs, percent, width))
     label = components.connected(links)
 
     crossed = scratch.keep(crossings(lists.select("gram", "doc_id", "n", "pos"), label, percent), "crossed")
     more = scratch.keep(crossed.where("not long").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", crossed.count())
     if not more.isEmpty():
-        new, pairs = verified(sets_of(docs, more, width), more, percent), pairs.unionByName(more)
+        new, pairs = _checked(docs, more, percent, width), pairs.unionByName(more)
         links, label = links.unionByName(new), components.extended(label, new)
     long = crossed.where("long").select("gram", F.col("a").alias("doc_id"), "n", "pos")
     pivots, sets = 16, None
@@ -510,8 +525,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, count: b
             break
         pivots *= 8
 
-    if count:
-        label = label.join(link_counts(docs, label, same, percent, width), "node")
-    out = signed.join(label, F.col("doc_id") == F.col("node"), "left")
-    shown = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count else []
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *shown)
+    return label.join(link_counts(docs, label, same, percent, width), "node") if count else label
