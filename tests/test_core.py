@@ -148,3 +148,57 @@ def test_stream_equals_batch(spark, small):
 def test_definitions(spark):
     got = {r["name"]: r["error"] for r in workload.validated(spark).collect()}
     assert got == {k: None if k == "good" else k for k in workload.bad_definitions()}
+
+
+def test_disputed_commands_and_identity():
+    engine = reducer.Engine()
+    got = [engine.handle(c)[0] for c in workload.disputed(1)]
+    assert [got.count(k) for k in ("accepted", "duplicate", "invalid_command")] == [9, 2, 5]
+    assert engine.result("req-1") == (1, 3) and engine.result("req-1-3") is None
+    made = reducer.normalised({"kind": "submit_workflow", "request_id": "request", "definition": {"namespace": "test"}})
+    assert made["workflow_id"] == "wf_044a741fd3b7366e5f3c585d"
+    for odd in (None, [], {"kind": "stop", "request_id": "r", "at": 1}, {"kind": "submit_workflow", "request_id": "r", "at": "1"}, {"kind": "submit_workflow", "request_id": "r", "at": 1, "definition": {"name": "n", "tasks": [1]}}):
+        before = json.dumps([engine.state, engine.requests])
+        assert engine.handle(odd)[0] in ("invalid_command", "invalid_definition") and json.dumps([engine.state, engine.requests]) == before
+
+
+def test_batches_go_all_or_not_at_all():
+    commands = workload.diamond(2)
+    engine = reducer.Engine()
+    assert engine.batch(commands[:5], keep=False)[:2] == (5, None) and engine.state is None and not engine.requests
+    assert engine.batch([*commands[:3], commands[7]])[:2] == (3, "invalid_transition") and engine.state is None
+    passed, error, events = engine.batch(commands)
+    assert (passed, error, len(events)) == (17, None, 26) and engine.state["status"] == "completed"
+
+
+def test_restore_checks_receipts():
+    engine, events = reducer.Engine(), []
+    for c in workload.diamond(3):
+        events += engine.handle(c)[1]
+    again = reducer.restored(events, engine.requests)
+    assert reducer.state_hash(again.state) == reducer.state_hash(engine.state) and again.handle(workload.diamond(3)[4])[0] == "duplicate"
+    broken = {k: list(x) for k, x in engine.requests.items()}
+    broken["bench-3-submit"][2] += 1
+    for receipts in (broken, {k: x for k, x in engine.requests.items() if k != "bench-3-submit"}):
+        with pytest.raises(reducer.Rejected):
+            reducer.restored(events, receipts)
+
+
+def test_definition_files_are_read_strictly(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from weftlog.sources import commands
+
+    (tmp_path / "one.json").write_text(json.dumps({"name": "n", "namespace": "s", "tasks": [{"id": "a", "type": "t", "dependencies": []}]}, indent=1))
+    found = commands.submissions(commands.definitions(spark, str(tmp_path)), F.lit("r"), F.lit(5)).first()
+    assert (found["kind"], found["at"], found["definition"]["tasks"][0]["id"]) == ("submit_workflow", 5, "a")
+    (tmp_path / "two.json").write_text("{broken")
+    with pytest.raises(Exception):
+        commands.definitions(spark, str(tmp_path)).collect()
+
+
+def test_the_plan_prefers_the_smaller_name(spark):
+    found = spark.createDataFrame([("ab", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "namespace string, workflow_id long, task_id string")
+    usage = spark.createDataFrame([("ab", 2, 5, 0), ("a", 2, 5, 0), ("b", 2, 5, 5)], "namespace string, weight long, max_running long, running long")
+    got = {r["namespace"]: (r["workflow_id"], r["credit"]) for r in schedule.planned(found, usage, spark.createDataFrame([], "namespace string, credit long")).collect()}
+    assert got == {"a": (2, -2), "ab": (None, 2)}

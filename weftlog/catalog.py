@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import catalog_metrics, catalog_reads, catalog_scheduling  # noqa: F401 - they register their queries
 from .functions import identity as ids
 from .operators import history as h
 from .operators import schedule
 from .plans import views as v
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name, with the body of its oracle over the shared views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {v.SQL}{oracle}" if oracle.startswith(",") else f"WITH {v.SQL}\n{oracle}"
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _graph(s, d):
     t = v.tasks(s, d)
@@ -248,7 +232,12 @@ def admission_greedy(s, d):
     return schedule.admitted(v.workflows(s, d).where("status = 'scheduled'").join(size, "workflow_id"), 1000)
 
 
-@query()
+@query(""", ns AS (SELECT list(namespace ORDER BY namespace) AS names FROM (SELECT DISTINCT namespace FROM wf)),
+w AS (SELECT names, list_transform(names, lambda x, i: (2 ** (i - 1))::BIGINT) AS ws FROM ns),
+turn AS (SELECT 0::BIGINT AS pick_no, list_transform(ws, lambda x: 0::BIGINT) AS cur, 0::BIGINT AS best FROM w
+UNION ALL SELECT pick_no + 1, list_transform(grown, lambda c, i: CASE WHEN i = list_position(grown, list_max(grown)) THEN c - list_sum(ws)::BIGINT ELSE c END), list_position(grown, list_max(grown))::BIGINT
+FROM (SELECT pick_no, ws, list_transform(cur, lambda c, i: c + ws[i]) AS grown FROM turn, w WHERE pick_no < 310))
+SELECT pick_no, names[best] AS namespace FROM turn, w WHERE pick_no > 0""")
 def fair_schedule(s, d):
     """Ten rounds of smooth weighted picks over the namespaces with weights 1, 2, 4 and so on by name."""
     names = v.workflows(s, d).select("namespace").distinct().withColumn("weight", F.pow(F.lit(2), F.row_number().over(Window.orderBy("namespace")) - 1).cast("long"))
@@ -268,32 +257,62 @@ def toposort(s, d):
     return h.topological(*_graph(s, d))
 
 
-@query("""SELECT kind, (n * per)::BIGINT AS n FROM (SELECT count(*) AS n FROM region) CROSS JOIN (SELECT unnest(['workflow_submitted', 'task_ready', 'task_started', 'task_completed', 'workflow_completed']) AS kind, unnest([1, 8, 8, 8, 1]) AS per)""")
+@query("""SELECT kind, (n * per)::BIGINT AS n FROM (SELECT count(*) AS n FROM supplier) CROSS JOIN (SELECT unnest(['workflow_submitted', 'task_ready', 'task_started', 'task_completed', 'workflow_completed']) AS kind, unnest([1, 8, 8, 8, 1]) AS per)""")
 def bench_diamond(s, d):
-    """One bench workflow per region, folded command by command."""
+    """One bench workflow per supplier, folded command by command."""
     from .operators import workload
 
-    n = v.table(s, d, "region").count()
+    n = v.table(s, d, "supplier").count()
     return workload.folded(s, n).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+#: The events of the release trace: of each workflow, in order, kind and time.
+_TRACE = {
+    "release": """workflow_submitted@5 timer_scheduled@5 timer_fired@10 workflow_started@10 task_ready@10 task_started@10 task_lease_renewed@20 task_lease_expired@220 task_started@220
+        task_completed@221 task_ready@221 task_started@221 task_completed@222 fanout_expanded@222 task_ready@222 task_ready@222 task_started@222 task_completed@223 task_started@223 task_completed@224
+        task_ready@224 task_started@224 task_completed@225 task_ready@225 task_started@225 timer_scheduled@225 task_failed@225 timer_cancelled@225 timer_scheduled@225 task_retry_scheduled@225
+        timer_fired@235 task_ready@235 task_started@235 timer_scheduled@235 timer_fired@285 task_timed_out@285 timer_scheduled@285 task_retry_scheduled@285 timer_fired@300 task_ready@300
+        task_started@300 timer_scheduled@300 task_failed@300 timer_cancelled@300 workflow_compensating@300 task_started@300 task_compensated@301 workflow_compensating@301 task_started@301
+        task_compensated@302 workflow_compensating@302 task_started@302 task_compensated@303 workflow_compensated@303""",
+    "completed": "workflow_submitted@0 task_ready@0 task_ready@0 task_started@0 task_completed@1 task_started@1 task_completed@2 task_ready@2 task_started@2 task_completed@3 workflow_completed@3",
+    "failed": "workflow_submitted@0 task_ready@0 task_started@0 task_failed@0 task_cancelled@0 workflow_failed@0",
+    "cancelled": "workflow_submitted@0 timer_scheduled@0 workflow_cancellation_requested@0 task_cancelled@0 timer_cancelled@0 workflow_cancelled@0",
+    "undone": """workflow_submitted@0 task_ready@0 task_started@0 task_completed@1 task_ready@1 task_started@1 workflow_cancellation_requested@1 task_cancelled@1 workflow_compensating@1
+        task_started@1 task_compensated@2 workflow_compensated@2""",
+}
+_TRACE_ROWS = ", ".join(f"('{w}', {k}::BIGINT, '{e.split('@')[0]}', {e.split('@')[1]}::BIGINT)" for w, events in _TRACE.items() for k, e in enumerate(events.split(), 1))
+
+
+@query(f"SELECT * FROM (VALUES {_TRACE_ROWS}) AS t(workflow_id, sequence, kind, at_ms)")
 def fold_release_trace(s, d):
-    """The release trace through the reducer: one row per event that it emits."""
+    """The release trace through the reducer: retries, timeouts, leases, timers, fan-out, cancellation and rollback, all kinds of events."""
     from .operators import workload
 
-    return workload.trace(s)
+    return workload.trace(s).select("workflow_id", "sequence", "kind", F.col("at").alias("at_ms"))
+
+
+@query("""SELECT n_nationkey::VARCHAR AS workflow_id, position::BIGINT AS position, outcome, events::BIGINT AS events, low::BIGINT AS first_sequence, high::BIGINT AS last_sequence FROM nation CROSS JOIN (VALUES
+(0, 'accepted', 3, 1, 3), (1, 'duplicate', 0, 1, 3), (2, 'request_conflict', 0, NULL, NULL), (3, 'invalid_command', 0, NULL, NULL), (4, 'invalid_command', 0, NULL, NULL), (5, 'invalid_command', 0, NULL, NULL),
+(6, 'invalid_transition', 0, NULL, NULL), (7, 'accepted', 1, 4, 4), (8, 'fenced', 0, NULL, NULL), (9, 'accepted', 1, 5, 5), (10, 'accepted', 1, 6, 6), (11, 'time_regression', 0, NULL, NULL),
+(12, 'accepted', 2, 7, 8), (13, 'accepted', 1, 9, 9), (14, 'invalid_command', 0, NULL, NULL), (15, 'lease_expired', 0, NULL, NULL), (16, 'accepted', 1, 10, 10), (17, 'accepted', 1, 11, 11),
+(18, 'accepted', 2, 12, 13), (19, 'invalid_transition', 0, NULL, NULL), (20, 'duplicate', 0, 5, 5), (21, 'workflow_exists', 0, NULL, NULL), (22, 'invalid_command', 0, NULL, NULL)) AS t(position, outcome, events, low, high)""")
+def command_outcomes(s, d):
+    """What becomes of repeated, conflicting, malformed, fenced, late and early commands, in a workflow per nation."""
+    from .operators import workload
 
+    numbers = v.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    return workload.outcomes(workload.made(numbers, workload.disputed))
 
-@query()
+@query("SELECT '' AS workflow_id, 0::BIGINT AS sequence, '' AS kind, '' AS task_id, 0::BIGINT AS at_ms, '' AS request_id, '' AS event FROM region WHERE false")
 def stream_equals_batch(s, d):
-    """What a streamed fold of the bench commands has more or less than the batch fold; no rows are right."""
+    """What a streamed fold of a bench workflow per supplier has more or less than the batch fold; no rows are right."""
     from .streaming import fold as streaming
 
-    return streaming.difference(s)
+    return streaming.difference(s, v.table(s, d, "supplier").count()).withColumnRenamed("at", "at_ms")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('good', NULL), ('blank_name', 'blank_name'), ('no_tasks', 'no_tasks'), ('repeated_task_id', 'repeated_task_id'), ('unknown_dependency', 'unknown_dependency'),
+('self_dependency', 'self_dependency'), ('cycle', 'cycle'), ('max_attempts', 'max_attempts'), ('fanout_aggregate', 'fanout_aggregate')) AS t(name, error)""")
 def validate_definitions(s, d):
     """The first error of each of a set of workflow definitions."""
     from .operators import workload

@@ -48,7 +48,7 @@ def run(spark: SparkSession, source: str, sink: str, checkpoint: str) -> DataFra
     return spark.read.schema(workload.EVENTS).parquet(f"{sink}/batch=*")
 
 
-def difference(spark: SparkSession, workflows: int = 20) -> DataFrame:
+def difference(spark: SparkSession, workflows: int) -> DataFrame:
     """Events that the streamed or the batch fold of the bench workload has and the other has not."""
     root = place(spark, "stream")
     commands = workload.bench_commands(spark, workflows)
