@@ -166,7 +166,7 @@ def test_batches_go_all_or_not_at_all():
     commands = workload.diamond(2)
     engine = reducer.Engine()
     assert engine.batch(commands[:5], keep=False)[:2] == (5, None) and engine.state is None and not engine.requests
-    assert engine.batch([*commands[:3], commands[7]])[:2] == (3, "invalid_transition") and engine.state is None
+    assert engine.batch([*commands[:3], commands[9]])[:2] == (3, "invalid_transition") and engine.state is None
     passed, error, events = engine.batch(commands)
     assert (passed, error, len(events)) == (17, None, 26) and engine.state["status"] == "completed"
 
