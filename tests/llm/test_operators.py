@@ -1,10 +1,14 @@
 """Each operator against a plain re-statement of its contract, on the smallest tables plus awkward rows."""
 
+import collections
 import hashlib
+import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -536,3 +540,27 @@ def test_trees_on_held_out_urls(spark):
     every = spark.createDataFrame(rows, "page_id long, url string, verdict string")
     got = {r["page_id"]: r["verdict"] for r in urls.judged(every.select("page_id", "url"), rules=[("none.invalid/", "block")], labels=every.where("page_id % 5 <> 0").select("url", "verdict")).collect()}
     assert np.mean([got[k] == v for k, _, v in rows if k % 5 == 0]) > 0.95
+
+
+def test_url_features_against_plain_python():
+    rng = random.Random(1)
+    text = lambda: "".join(rng.choice("ab.-/?#=:9é\n𝒳h") for _ in range(rng.randrange(25)))
+
+    def plain(url, host, path):
+        n, labels, query = max(len(url), 1), host.split("."), url.partition("?")[2].partition("#")[0]
+        entropy = -sum(c / n * math.log2(c / n) for c in collections.Counter(url).values())
+        first = len(path.split("/")[1]) if "/" in path else 0
+        return [len(url), len(host), len(path), path.count("/"), sum(c in "0123456789" for c in url) / n, entropy, query.count("="), len(query), host.count("-"), len(labels), max(map(len, labels)), url.startswith("https"), "#" in url, "." in path.rpartition("/")[2], first]
+
+    rows = [(text(), text(), text()) for _ in range(3000)] + [("", "", ""), ("https://a.b/c", "a.b", "/c")]
+    found = urls.features(*[pa.array(list(c), pa.string()) for c in zip(*rows)])
+    assert np.allclose(found, np.array([plain(*r) for r in rows], float))
+    assert np.array_equal(urls.features(pa.array([None], pa.string()), pa.array([""]), pa.array([""]))[0], np.array(plain("", "", ""), float))
+
+
+def test_rules_of_many_rows():
+    rng = random.Random(2)
+    rules = [(r, "block") for r in ("b/", "a.b/", "b/a", "a/b/c", "a.a/")]
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(2000)]
+    paths = ["/" + "".join(rng.choice("ab/c") for _ in range(3)) for _ in hosts]
+    assert urls.matched(rules, pa.array(hosts), pa.array(paths)) == [urls.rule_of(rules, h, p) for h, p in zip(hosts, paths)]

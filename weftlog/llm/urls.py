@@ -14,11 +14,11 @@ training url, or only one verdict among them, the trees are one constant (allow
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +66,58 @@ def _indexed(rules: tuple[str, ...]) -> dict[str, list[str]]:
     return _INDEXES[rules]
 
 
-def features(url: str, host: str, path: str) -> list[float]:
-    n = max(len(url), 1)
-    counts = Counter(url)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if url else 0.0
-    query = url.partition("?")[2].partition("#")[0]
-    labels = host.split(".")
-    return [len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / n, entropy, query.count("="), len(query), host.count("-"), len(labels), max(map(len, labels)), float(url.startswith("https")), float("#" in url), float("." in path.rpartition("/")[2]), len(path.split("/")[1]) if path.count("/") else 0]
+def _part(text: pa.Array, pattern: str) -> pa.Array:
+    """The group ``x`` of a pattern, or the empty text."""
+    return pc.fill_null(pc.struct_field(pc.extract_regex(text, pattern), "x"), "")
+
+
+def _entropy(urls: pa.Array, lengths: np.ndarray) -> np.ndarray:
+    """Bits of a character of each url: every (row, code point) is counted once for all rows of a batch."""
+    points = np.frombuffer("".join(urls.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    pair, count = np.unique(np.repeat(np.arange(len(lengths)), lengths) << 21 | points, return_counts=True)
+    row = pair >> 21
+    share = count / lengths[row]
+    return np.bincount(row, -share * np.log2(share), len(lengths))
+
+
+def features(urls: pa.Array, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+    """The lexical features, a row of numbers a url; a url's numbers do not depend on its batch. Digits are 0 to 9."""
+    urls, numbers = pc.fill_null(urls, ""), lambda found: np.asarray(found).astype(np.float64)
+    query = _part(urls, r"^[^?]*\?(?P<x>[^#]*)")
+    lengths = np.asarray(pc.utf8_length(urls)).astype(np.int64)
+    labels = pc.split_pattern(hosts, ".")
+    widest = np.maximum.reduceat(np.asarray(pc.utf8_length(labels.flatten())), np.cumsum(np.r_[0, np.asarray(pc.list_value_length(labels))[:-1]]))
+    columns = [
+        lengths,
+        pc.utf8_length(hosts),
+        pc.utf8_length(paths),
+        pc.count_substring(paths, "/"),
+        np.asarray(pc.count_substring_regex(urls, "[0-9]")) / np.maximum(lengths, 1),
+        _entropy(urls, lengths),
+        pc.count_substring(query, "="),
+        pc.utf8_length(query),
+        pc.count_substring(hosts, "-"),
+        pc.list_value_length(labels),
+        widest,
+        pc.starts_with(urls, "https").cast(pa.int8()),
+        pc.match_substring(urls, "#").cast(pa.int8()),
+        pc.match_substring_regex(paths, r"\.[^/]*$").cast(pa.int8()),
+        pc.utf8_length(_part(paths, "^[^/]*/(?P<x>[^/]*)")),
+    ]
+    return np.column_stack([numbers(c) for c in columns])
+
+
+def matched(rules: list[tuple[str, str]], hosts: pa.Array, paths: pa.Array) -> list[str | None]:
+    """``rule_of`` of every row: hosts are looked up once each, and only rows whose host has a rule look at their path."""
+    index, coded = _indexed(tuple(r for r, _ in rules)), hosts.dictionary_encode()
+    named = []
+    for host in coded.dictionary.to_pylist():
+        labels = host.split(".")
+        named.append(any(".".join(labels[k:]) in index for k in range(len(labels))))
+    found: list[str | None] = [None] * len(hosts)
+    for k in np.flatnonzero(np.array(named, bool)[np.asarray(coded.indices)]) if len(hosts) else ():
+        found[k] = rule_of(rules, hosts[k].as_py(), paths[k].as_py())
+    return found
 
 
 class Trees:
@@ -81,9 +126,15 @@ class Trees:
     def __init__(self, start: float, trees: list, rates: dict[str, float], share: float):
         self.start, self.trees, self.rates, self.share = start, trees, rates, share
 
-    def suffix(self, host: str) -> list[float]:
-        labels = host.split(".")
-        return [self.rates.get(".".join(labels[-k:]), self.share) for k in (1, 2, 3)]
+    def suffixes(self, hosts: pa.Array) -> np.ndarray:
+        """The block rates of the last one, two and three labels, looked up once a distinct host."""
+        coded = hosts.dictionary_encode()
+        labels = [h.split(".") for h in coded.dictionary.to_pylist()]
+        rates = np.array([[self.rates.get(".".join(x[-k:]), self.share) for k in (1, 2, 3)] for x in labels])
+        return rates.reshape(-1, 3)[np.asarray(coded.indices)]
+
+    def inputs(self, urls: pa.Array, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+        return np.hstack([features(urls, hosts, paths), self.suffixes(hosts)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability that each row is to be blocked."""
@@ -164,7 +215,7 @@ def fit(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: DataFram
             n[0], n[1] = n[0] + 1, n[1] + v
     rates = {k: (b + 10 * share) / (n + 10) for k, (n, b) in seen.items() if n >= 3}
     model = Trees(0.0, [], rates, share)
-    x = np.array([features(r["url"] or "", r["host"], r["path"]) + model.suffix(r["host"]) for r in got])
+    x = model.inputs(*[pa.array([r[c] for r in got], pa.string()) for c in ("url", "host", "path")])
     model.start, model.trees = boosted(x, y) if 0 < share < 1 else (20 * share - 10, [])
     return model
 
@@ -179,10 +230,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            urls, hosts, paths = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            x = np.array([features(u or "", h, p) + model.suffix(h) for u, h, p in zip(urls, hosts, paths)])
-            score = model.score(x)
-            found = [rule_of(rules, h, p) for h, p in zip(hosts, paths)]
+            urls, hosts, paths = (batch.column(k).cast(pa.string()) for k in (1, 2, 3))
+            score = model.score(model.inputs(urls, hosts, paths))
+            found = matched(rules, hosts, paths)
             verdict = [verdicts[r] if r else "block" if s > 0.5 else "allow" for r, s in zip(found, score)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), batch.column(3), pa.array(found, pa.string()), pa.array(verdict, pa.string()), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
 
