@@ -69,8 +69,8 @@ def _bucket(bounds: list[int]) -> Column:
     if not bounds:
         return F.lit(0)
     wide = max(1, int(len(bounds) ** 0.5))
-    coarse = F.array(*[F.lit(b) for b in bounds[wide - 1 :: wide]])
-    fine = F.array(*[F.lit(b) for b in bounds])
+    # one literal each, which the optimizer turns into an array once
+    coarse, fine = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in (bounds[wide - 1 :: wide], bounds))
     first = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id"))) * wide
     return first + F.size(F.filter(F.slice(fine, first + 1, wide), lambda b: b <= F.col("doc_id")))
 
