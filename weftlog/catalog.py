@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import catalog_machine, catalog_metrics, catalog_reads, catalog_scheduling, catalog_states  # noqa: F401 - they register their queries
+from . import catalog_flow, catalog_machine, catalog_metrics, catalog_reads, catalog_scheduling, catalog_states  # noqa: F401 - they register their queries
 from .functions import identity as ids
 from .operators import history as h
 from .operators import schedule
